@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
@@ -62,3 +63,34 @@ def ascii_lower(col) -> F.Column:
     """Lower-case A-Z and nothing else. ``lower`` is the same and faster where the text is pure ASCII."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, upper, upper.lower()))
+
+
+def spread_rank(df: DataFrame, keys: list[str], order: list[str], rank: str, total: str, name: str) -> tuple[DataFrame, str]:
+    """Add the rank from 0 of each row within ``keys`` by ``order``, and the rows of its key; keys may not be null.
+
+    Rows are range-partitioned by keys and order together, so a key of any size spreads over many partitions; ranks
+    follow from the position within the partition and the counts of (partition, key) before it, which are as many as
+    partitions and keys. Returns the table and the path of the scratch table behind it.
+    """
+    at = "__at"
+    df = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn(at, F.monotonically_increasing_id())
+    df, path = written(df, name)
+    df = df.withColumn("__part", F.shiftright(at, 33))
+    before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    counts = df.groupBy("__part", *keys).agg(F.count("*").alias("__n"), F.min(at).alias("__first"))
+    counts = counts.select(
+        "__part", *keys, "__first",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(W.partitionBy(*keys)).alias(total),
+    )
+    df = df.join(counts, ["__part", *keys])
+    return df.withColumn(rank, F.col(at) - F.col("__first") + F.col("__before")).drop("__part", at, "__first", "__before"), path
+
+
+def with_copies_placed(df: DataFrame, placed: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Give each row of ``df`` one of the rows of ``placed`` with the same keys: of repeated rows each gets another."""
+    many = placed.groupBy(*keys).agg(F.collect_list(F.struct(*cols)).alias("__places"))
+    on = [df[k].eqNullSafe(many[k]) for k in keys]
+    both = df.join(many, on)
+    nth = F.row_number().over(W.partitionBy(*[df[k] for k in keys]).orderBy(F.lit(0)))
+    both = both.withColumn("__place", F.element_at("__places", nth))
+    return both.select(*[df[c] for c in df.columns], *[F.col(f"__place.{c}").alias(c) for c in cols])

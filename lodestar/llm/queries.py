@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from lodestar.llm import op1_mix as op1
 from lodestar.llm import op2_exact_dedup as op2
+from lodestar.llm import op7_shard as op7
 
-QUERIES = {"op2_exact_dedup": op2.op2_exact_dedup}
+QUERIES = {"op1_mix": op1.op1_mix, "op2_exact_dedup": op2.op2_exact_dedup, "op7_shard": op7.op7_shard}
 ORACLE = {"op2_exact_dedup": op2.SQL}
