@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from lodestar.llm import op1_mix as op1
+from lodestar.llm import op10_simhash as op10
 from lodestar.llm import op2_exact_dedup as op2
 from lodestar.llm import op7_shard as op7
+from lodestar.llm import op9_secrets as op9
 
-QUERIES = {"op1_mix": op1.op1_mix, "op2_exact_dedup": op2.op2_exact_dedup, "op7_shard": op7.op7_shard}
-ORACLE = {"op2_exact_dedup": op2.SQL}
+QUERIES = {"op1_mix": op1.op1_mix, "op2_exact_dedup": op2.op2_exact_dedup, "op7_shard": op7.op7_shard, "op9_secrets": op9.op9_secrets, "op10_simhash": op10.op10_simhash}
+ORACLE = {"op2_exact_dedup": op2.SQL, "op9_secrets": op9.SQL}
