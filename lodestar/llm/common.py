@@ -94,3 +94,15 @@ def with_copies_placed(df: DataFrame, placed: DataFrame, keys: list[str], cols:
     nth = F.row_number().over(W.partitionBy(*[df[k] for k in keys]).orderBy(F.lit(0)))
     both = both.withColumn("__place", F.element_at("__places", nth))
     return both.select(*[df[c] for c in df.columns], *[F.col(f"__place.{c}").alias(c) for c in cols])
+
+
+def byte_buffer(column):
+    """The bytes of an Arrow binary or string column and the offsets of its values within them (one more than values)."""
+    import numpy as np
+    import pyarrow as pa
+
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if offsets else np.zeros(len(column) + 1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data, offsets
