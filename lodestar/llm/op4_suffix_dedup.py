@@ -10,8 +10,9 @@ anchors. Consecutive windows with one anchor form a run.
    together by anchor, and windows with an equal elsewhere are found with suffix arrays: suffixes smaller than their
    successors are sorted directly, all others are induced by scanning the buckets of first bytes, and common prefixes of
    neighbours tell which windows repeat.
-4. Anchors with more than HOT different runs don't go to one task: their windows are counted by digest, pre-aggregated
-   before each shuffle, which finds the same windows.
+4. Anchors with more than HOT different runs don't go to one task: they are dealt into parts of about HOT runs. A suffix
+   array for each part settles the windows that repeat within it; digests of the others, and of one window of each kind
+   that repeats, are counted over the parts, pre-aggregated before the shuffle, which settles the rest.
 
 Strings are judged on the input; matches never cross texts.
 """
@@ -34,8 +35,8 @@ LENGTH = 400
 GRAM = 32
 #: Windows in a run at most, and bytes of a text that are hashed at once.
 RUN, CHUNK = 512, 1 << 20
-#: Different runs of one anchor up to which a suffix array is built for them.
-HOT = 256
+#: Different runs of one anchor up to which they stay together, about.
+HOT = 64
 #: Suffixes that one suffix array holds, about.
 SUFFIXES = 60_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -149,8 +150,8 @@ def suffix_array(s: np.ndarray, ends: np.ndarray, windows: np.ndarray, depth: in
     return sa
 
 
-def repeated(segments: list[bytes], windows: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each segment, which of its first windows occur elsewhere among all segments' windows."""
+def repeated(segments: list[bytes], windows: list[int], length: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each segment, which of its first windows occur elsewhere among all segments' windows; which are the first of their kind."""
     s = np.frombuffer(b"".join(segments), np.uint8)
     ends = np.cumsum([len(x) for x in segments])
     begins, many = np.r_[0, ends[:-1]], np.array(windows)
@@ -160,14 +161,16 @@ def repeated(segments: list[bytes], windows: list[int], length: int = LENGTH) ->
         first[b : b + w] = True
     sa = sa[first[sa]]
     rows = np.lib.stride_tricks.sliding_window_view(s, length)
-    found = np.zeros(len(s), bool)
+    found, equal = np.zeros(len(s), bool), np.zeros(len(sa), bool)
     for at in range(0, len(sa) - 1, 1 << 14):
         block = rows[sa[at : at + (1 << 14) + 1]]
         differ = block[1:] != block[:-1]
         common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
         hit = np.flatnonzero(common >= length) + at
-        found[sa[hit]] = found[sa[hit + 1]] = True
-    return [found[b : b + w] for b, w in zip(begins.tolist(), windows, strict=True)]
+        found[sa[hit]] = found[sa[hit + 1]] = equal[hit + 1] = True
+    lead = np.zeros(len(s), bool)
+    lead[sa[~equal]] = True
+    return [(found[b : b + w], lead[b : b + w]) for b, w in zip(begins.tolist(), windows, strict=True)]
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -219,41 +222,44 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     got, got_path = written(got, "segments")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes, int]] = []
+        held: list[tuple[int, int, bytes, bytes, int, int]] = []
         n = 0
+        low = xxhash.xxh3_128_intdigest
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
 
         def solve() -> pa.RecordBatch:
-            flags = repeated([x[2] for x in held], [x[3] for x in held], length)
-            out = [(x[0], x[1], [{"from": a, "to": b} for a, b in _spans(f)]) for x, f in zip(held, flags, strict=True) if f.any()]
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["anchor", "digest", "spans"])
+            flags = repeated([x[3] for x in held], [x[4] for x in held], length)
+            out = []
+            for (anchor, _, digest, segment, _, kinds), (found, lead) in zip(held, flags, strict=True):
+                rest = []
+                if kinds > HOT:
+                    for i in np.flatnonzero(lead).tolist():
+                        h1, h2 = divmod(low(segment[i : i + length]), 1 << 64)
+                        rest.append({"at": None if found[i] else i, "h1": signed(h1), "h2": signed(h2)})
+                if rest or found.any():
+                    out.append((anchor, digest, [{"from": a, "to": b} for a, b in _spans(found)], rest))
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])), pa.list_(pa.struct([("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["anchor", "digest", "spans", "rest"])
 
         for b in batches:
-            for x in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "segment", "size")), strict=True):
-                if n >= SUFFIXES and x[0] != held[-1][0]:  # an anchor's segments stay together
+            for x in zip(*(b.column(c).to_pylist() for c in ("anchor", "part", "digest", "segment", "size", "kinds")), strict=True):
+                if n >= SUFFIXES and x[:2] != held[-1][:2]:  # a part's segments stay together
                     yield solve()
                     held, n = [], 0
                 held.append(x)
-                n += x[3]
+                n += x[4]
         if held:
             yield solve()
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each window of segments of hot anchors."""
-        low = xxhash.xxh3_128_intdigest
-        for b in batches:
-            for x in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "segment", "size")), strict=True):
-                h = np.array([divmod(low(x[2][i : i + length]), 1 << 64) for i in range(x[3])], np.uint64).view(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(x[0], pa.int64()), x[3]), pa.repeat(pa.scalar(x[1], pa.binary()), x[3]), pa.array(np.arange(x[3], dtype=np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["anchor", "digest", "at", "h1", "h2"])
-
-    cool = got.filter(F.col("kinds") <= HOT).repartition("anchor").sortWithinPartitions("anchor").select("anchor", "digest", "segment", "size")
-    by_array = cool.mapInArrow(arrays, FOUND)
-    wins = got.filter(F.col("kinds") > HOT).select("anchor", "digest", "segment", "size").mapInArrow(digests, "anchor long, digest binary, at int, h1 long, h2 long")
-    twice = wins.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
-    by_count = wins.join(twice, ["h1", "h2"]).groupBy("anchor", "digest").agg(F.transform(F.collect_list("at"), lambda a: F.struct(a.alias("from"), (a + 1).alias("to"))).alias("spans"))
-    parts = by_array.unionByName(by_count).join(whole.select("anchor", "digest"), ["anchor", "digest"], "left_anti")
+    part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("kinds") / HOT))
+    dealt = got.withColumn("part", part).repartition("anchor", "part").sortWithinPartitions("anchor", "part", "digest")
+    settled, settled_path = written(dealt.mapInArrow(arrays, FOUND + ", rest array<struct<at:int,h1:long,h2:long>>"), "settled")
+    rest = settled.filter(F.size("rest") > 0).select("anchor", "digest", F.inline("rest"))
+    twice = rest.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
+    late = rest.filter("at is not null").join(twice, ["h1", "h2"]).groupBy("anchor", "digest").agg(F.transform(F.collect_list("at"), lambda a: F.struct(a.alias("from"), (a + 1).alias("to"))).alias("spans"))
+    parts = settled.filter(F.size("spans") > 0).select("anchor", "digest", "spans").unionByName(late).join(whole.select("anchor", "digest"), ["anchor", "digest"], "left_anti")
     found, found_path = written(whole.unionByName(parts), "repeats")
-    discard(spark, got_path)
+    discard(spark, got_path, settled_path)
     mine = runs.filter("copies = 1").join(found, ["anchor", "digest"])
     spans = F.coalesce(F.transform("spans", lambda x: F.struct((x["from"] + F.col("start")).alias("from"), (x["to"] + F.col("start")).alias("to"))), F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("size")).alias("to"))))
     out, _ = written(mine.select("key", spans.alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
