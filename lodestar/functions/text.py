@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def quoted(literal: str) -> str:
 
 def byte_view(col: Column) -> Column:
     """Bytes as a string of as many characters, so that string functions count bytes."""
-    return F.decode(col.cast("binary"), F.lit("ISO-8859-1"))
+    return F.decode(col.cast("binary"), "ISO-8859-1")
 
 
 def byte_text(query: str | bytes) -> str:
@@ -50,7 +52,7 @@ def big_endian(col: Column, offset: int, size: int) -> Column:
     part = F.substring(col, offset + 1, size)
     kind = {2: "short", 4: "int", 8: "long"}[size]
     number = F.conv(F.hex(part), 16, 10).cast("decimal(20,0)")
-    signed = F.when(number >= 2 ** (8 * size - 1), number - F.lit(2 ** (8 * size)).cast("decimal(21,0)")).otherwise(number)
+    signed = F.when(number >= F.lit(Decimal(2 ** (8 * size - 1))), number - F.lit(Decimal(2 ** (8 * size)))).otherwise(number)
     return F.when(F.octet_length(part) == size, signed.cast(kind))
 
 

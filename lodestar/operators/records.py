@@ -40,14 +40,15 @@ def extract_global(records: DataFrame, offset: int, length: int, value: str = "v
     """One row, ``content`` (binary): ``length`` bytes from a global offset on, across as many records as it takes."""
     if offset < 0 or length < 0:
         raise ValueError("offset and length can't be negative")
-    data = F.concat(F.col(value).cast("binary"), F.lit("\n").cast("binary"))
-    touched = records.filter((F.col("global_offset") < offset + length) & (F.col("global_offset") + F.octet_length(F.col(value)) + 1 > offset))
+    held = F.coalesce(F.col(value).cast("binary"), F.lit("").cast("binary"))
+    data = F.concat(held, F.lit("\n").cast("binary"))
+    touched = records.filter((F.col("global_offset") < offset + length) & (F.col("global_offset") + F.octet_length(held) + 1 > offset))
     pieces = touched.select(F.struct(F.col("global_offset").alias("at"), byte_view(data).alias("data")).alias("piece"))
     joined = pieces.agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
     text = F.array_join(F.transform("pieces", lambda p: p["data"]), "")
     start = F.greatest(F.lit(0), F.lit(offset) - F.coalesce(F.element_at("pieces", 1)["at"], F.lit(offset))) + 1
     cut = F.when(F.size("pieces") > 0, text.substr(start.cast("int"), F.lit(length)))
-    return joined.select(F.encode(F.coalesce(cut, F.lit("")), F.lit("ISO-8859-1")).alias("content"))
+    return joined.select(F.encode(F.coalesce(cut, F.lit("")), "ISO-8859-1").alias("content"))
 
 
 def check_range(records: DataFrame, offset: int, length: int, value: str = "value") -> None:

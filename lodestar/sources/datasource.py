@@ -7,10 +7,13 @@ this facade is for code that wants a format name. Paths must be readable by pyar
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -55,8 +58,14 @@ def _expression(f: Filter):
     return None
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://")
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path within it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _dataset(path: str) -> ds.Dataset:
+    store, at = _store(path)
+    return ds.dataset(at, format="parquet", filesystem=store)
 
 
 class _Reader(DataSourceReader):
@@ -72,37 +81,30 @@ class _Reader(DataSourceReader):
                 self.where = e if self.where is None else self.where & e
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(f.path, g.id) for f in ds.dataset(_local(self.path), format="parquet").get_fragments() for g in f.row_groups]
+        return [_Part(f.path, g.id) for f in _dataset(self.path).get_fragments() for g in f.row_groups]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        file = ds.ParquetFileFormat().make_fragment(partition.file, row_groups=[partition.group])
-        yield from file.to_batches(columns=self.schema.names, filter=self.where)
+        part = ds.ParquetFileFormat().make_fragment(partition.file, filesystem=_store(self.path)[0], row_groups=[partition.group])
+        yield from part.to_batches(columns=self.schema.names, filter=self.where)
 
 
 class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str) -> None:
-        self.path = _local(path)
+        self.path = path
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        import os
-        import uuid
-
-        import pyarrow.parquet as pq
-
-        os.makedirs(self.path, exist_ok=True)
+        store, at = _store(self.path)
         out = None
         for b in batches:
-            out = out or pq.ParquetWriter(f"{self.path}/part-{uuid.uuid4().hex}.parquet", b.schema)
+            out = out or pq.ParquetWriter(f"{at}/part-{uuid.uuid4().hex}.parquet", b.schema, filesystem=store)
             out.write_batch(b)
         if out:
             out.close()
         return WriterCommitMessage()
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        import os
-
-        os.makedirs(self.path, exist_ok=True)
-        open(f"{self.path}/_SUCCESS", "w").close()
+        store, at = _store(self.path)
+        store.open_output_stream(f"{at}/_SUCCESS").close()
 
 
 class LodestarSource(DataSource):
@@ -117,20 +119,19 @@ class LodestarSource(DataSource):
         return "lodestar"
 
     def schema(self) -> StructType:
-        return from_arrow_schema(ds.dataset(_local(self.path), format="parquet").schema)
+        return from_arrow_schema(_dataset(self.path).schema)
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.path, schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        import os
-        import shutil
-
-        there = os.path.exists(_local(self.path)) and os.listdir(_local(self.path))
+        store, at = _store(self.path)
+        there = store.get_file_info(at).type != fs.FileType.NotFound and store.get_file_info(fs.FileSelector(at))
         if there and not overwrite:
             raise ValueError("append isn't supported: the table exists")
         if there:
-            shutil.rmtree(_local(self.path))
+            store.delete_dir_contents(at)
+        store.create_dir(at, recursive=True)
         return _Writer(self.path)
 
 

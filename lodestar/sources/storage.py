@@ -38,3 +38,15 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
 def delimited(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
     """A table of strings from delimited text with a header row."""
     return spark.read.option("sep", sep).option("header", True).csv(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share; one of our own only where the cluster names none."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="lodestar-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/lodestar-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
