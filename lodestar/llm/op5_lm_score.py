@@ -29,6 +29,8 @@ ORDER = 3
 BACKOFF = 0.4
 #: Bytes of text in a block and in a bucket's share, about.
 BLOCK, BUCKET = 6 << 20, 8 << 20
+#: Blocks and buckets that a small table has at least: their number follows the text, not the cluster.
+SPREAD = 16
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -158,8 +160,8 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_co
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = max(1, parts, -(-size // BLOCK))
-    bits = max(1, math.ceil(math.log2(max(2 * parts, size / BUCKET, 2))))
+    n_blocks = max(-(-size // BLOCK), min(SPREAD, 1 + (size >> 20)))
+    bits = math.ceil(math.log2(max(size / BUCKET, SPREAD)))
     # dealt in turn, so that blocks are even whatever the ids
     rows = rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(n_blocks)))
     name = f"lodestar_blocks_{uuid.uuid4().hex}"
