@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -86,14 +86,35 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], rank: str, tot
     return df.withColumn(rank, F.col(at) - F.col("__first") + F.col("__before")).drop("__part", at, "__first", "__before"), path
 
 
-def with_copies_placed(df: DataFrame, placed: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Give each row of ``df`` one of the rows of ``placed`` with the same keys: of repeated rows each gets another."""
-    many = placed.groupBy(*keys).agg(F.collect_list(F.struct(*cols)).alias("__places"))
-    on = [df[k].eqNullSafe(many[k]) for k in keys]
-    both = df.join(many, on)
-    nth = F.row_number().over(W.partitionBy(*[df[k] for k in keys]).orderBy(F.lit(0)))
-    both = both.withColumn("__place", F.element_at("__places", nth))
-    return both.select(*[df[c] for c in df.columns], *[F.col(f"__place.{c}").alias(c) for c in cols])
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key(id_col: str, text_col: str, seed: int) -> Column:
+    """Hash of a row's id and text: with the id, what :func:`with_copies_placed` tells rows apart by."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.crc32(text.cast("binary")), F.octet_length(text).cast("long"))
+
+
+def with_copies_placed(df: DataFrame, placed: DataFrame, id_col: str, key: Column, cols: dict[str, str]) -> DataFrame:
+    """Give each row of ``df`` one of the rows of ``placed`` (id, h, ...) with the same id and key: of repeated rows each
+    gets another. ``cols`` names what is added: column of ``placed`` to new column. The texts move once.
+    """
+    ident, h, other_id, other_h, places, place = fresh(df, "__id", "__h", "__other_id", "__other_h", "__places", "__place")
+    many = placed.groupBy("id", "h").agg(F.collect_list(F.struct(*cols)).alias(places)).toDF(other_id, other_h, places)
+    full = df.withColumns({ident: F.col(f"`{id_col}`"), h: key})
+    both = full.join(many, F.col(ident).eqNullSafe(F.col(other_id)) & F.col(h).eqNullSafe(F.col(other_h)))
+    nth = F.row_number().over(W.partitionBy(ident, h).orderBy(F.lit(0)))
+    both = both.withColumn(place, F.element_at(places, nth))
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"{place}.{c}").alias(new) for c, new in cols.items()])
 
 
 def byte_buffer(column):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import discard, documents, written
+from lodestar.llm.common import discard, documents, fresh, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -225,10 +225,12 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # the window sees rows with the group's smallest id only, not the group
     stays = groups.filter(F.col("id").eqNullSafe(F.col("component_id")))
     stays = stays.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("id", "h")
-    keyed = df.withColumns({"__id": F.col(f"`{id_col}`"), "__h": F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))})
-    both = keyed.join(stays, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__h") == F.col("h")))
-    both = both.withColumn("__nth", F.row_number().over(W.partitionBy("__id", "__h").orderBy(F.lit(0)))).filter("__nth = 1")
-    return both.select(*[keyed[c] for c in df.columns])
+    ident, key, nth, other_id, other_key = fresh(df, "__id", "__h", "__nth", "__other_id", "__other_h")
+    stays = stays.toDF(other_id, other_key)
+    keyed = df.withColumns({ident: F.col(f"`{id_col}`"), key: F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))})
+    both = keyed.join(stays, F.col(ident).eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key)))
+    both = both.withColumn(nth, F.row_number().over(W.partitionBy(ident, key).orderBy(F.lit(0)))).filter(F.col(nth) == 1)
+    return both.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import documents, spread_rank, with_copies_placed
+from lodestar.llm.common import documents, fresh, row_key, spread_rank, with_copies_placed
 from lodestar.llm.op7_shard import keyed
 
 #: Parts a period is dealt in: weights are exact to one part.
@@ -156,12 +156,10 @@ def mix(
 
 def mix_documents(df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """``df`` in mixed order: written as files, the rows follow the schedule from the first file to the last."""
-    places = mix(df, seed=seed, id_col=id_col, text_col=text_col, **kwargs).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("mix_pos").alias("__pos"))
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    h = F.xxhash64(F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.crc32(text.cast("binary")), F.octet_length(text).cast("long"))
-    full = df.withColumns({"__id": F.col(f"`{id_col}`"), "__h": h})
-    full = with_copies_placed(full, places, ["__id", "__h"], ["__pos"])
-    return full.repartitionByRange("__pos").sortWithinPartitions("__pos").drop("__id", "__h", "__pos")
+    [pos] = fresh(df, "__pos")
+    places = mix(df, seed=seed, id_col=id_col, text_col=text_col, **kwargs)
+    full = with_copies_placed(df, places, id_col, row_key(id_col, text_col, seed), {"mix_pos": pos})
+    return full.repartitionByRange(pos).sortWithinPartitions(pos).drop(pos)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestar.llm import words
-from lodestar.llm.common import documents
+from lodestar.llm.common import documents, fresh
 
 MIN_TILE = 5
 COVERAGE = 0.5
@@ -153,7 +153,7 @@ def leaks(
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = MIN_TILE, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``df`` without the rows into which an item leaked; rows stay where they are."""
-    cols = df.columns
+    cols, [held] = df.columns, fresh(df, "__words")
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = df.sparkSession.sparkContext.broadcast(block)
 
@@ -161,10 +161,10 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
             tiler = Tiler(shared.value, least, coverage)
             for b in batches:
                 stays = np.ones(b.num_rows, bool)
-                stays[[x[0] for x in tiler(b.column("__words").to_pylist())]] = False
+                stays[[x[0] for x in tiler(b.column(held).to_pylist())]] = False
                 yield b.filter(pa.array(stays)).select(cols)
 
-        df = df.withColumn("__words", F.col(f"`{text_col}`").cast("string")).mapInArrow(run, df.schema)
+        df = df.withColumn(held, F.col(f"`{text_col}`").cast("string")).mapInArrow(run, df.schema)
     return df
 
 

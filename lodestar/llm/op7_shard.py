@@ -11,20 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import discard, documents, spread_rank, with_copies_placed
+from lodestar.llm.common import discard, documents, row_key, spread_rank, with_copies_placed
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     """Narrow rows: id, source, size, crc and a seeded shuffle key; a null source is a source of its own."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    source = F.col(f"`{source_col}`").cast("string")
-    df = df.select(F.col(f"`{id_col}`").alias("id"), source.alias("source"), F.octet_length(text).cast("long").alias("bytes"), F.crc32(text.cast("binary")).alias("crc"))
-    df = df.withColumns({"no_source": source_is_null(), "src": F.coalesce("source", F.lit(""))})
-    return df.withColumn("h", F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), "crc", "bytes"))
-
-
-def source_is_null() -> F.Column:
-    return F.col("source").isNull()
+    df = df.select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.octet_length(text).cast("long").alias("bytes"),
+        F.crc32(text.cast("binary")).alias("crc"), row_key(id_col, text_col, seed).alias("h"),
+    )
+    return df.withColumns({"no_source": F.col("source").isNull(), "src": F.coalesce("source", F.lit(""))})
 
 
 def interleave(df: DataFrame, n_shards: int = 40, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -47,12 +44,10 @@ def interleave(df: DataFrame, n_shards: int = 40, seed: int = 0, id_col: str = "
 
 
 def shard_documents(df: DataFrame, n_shards: int = 40, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``df`` with shard and slot: only narrow rows are ranked, the texts move once, to meet their places."""
-    places = interleave(df, n_shards, seed, id_col, text_col, source_col).select(F.col("id").alias("__id"), F.col("h").alias("__h"), "shard", "slot")
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    h = F.xxhash64(F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.crc32(text.cast("binary")), F.octet_length(text).cast("long"))
-    full = df.drop("shard", "slot").withColumns({"__id": F.col(f"`{id_col}`"), "__h": h})
-    return with_copies_placed(full, places, ["__id", "__h"], ["shard", "slot"]).drop("__id", "__h")
+    """``df`` with shard and slot (columns of these names give way): only narrow rows are ranked, the texts move once."""
+    df = df.drop(*({"shard", "slot"} - {id_col, text_col, source_col}))
+    places = interleave(df, n_shards, seed, id_col, text_col, source_col)
+    return with_copies_placed(df, places, id_col, row_key(id_col, text_col, seed), {"shard": "shard", "slot": "slot"})
 
 
 def write_shards(df: DataFrame, path: str, **kwargs) -> None:

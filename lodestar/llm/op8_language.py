@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import byte_buffer, documents
+from lodestar.llm.common import byte_buffer, documents, fresh
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -192,13 +192,14 @@ def predict(df: DataFrame, net: Network | None, cols: list[str], text_col: str =
     ``und`` with score 0 where the text is null, empty or without a letter, and everywhere if nothing could be learned.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    rows = df.select(*[F.col(f"`{c}`") for c in cols], text.cast("binary").alias("__bytes"))
+    [held] = fresh(df, "__bytes")
+    rows = df.select(*[F.col(f"`{c}`") for c in cols], text.cast("binary").alias(held))
     schema = df.select(*[F.col(f"`{c}`") for c in cols]).withColumns({pred: F.lit(""), score: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None if net is None else Predictor(net)
         for b in batches:
-            values = b.column("__bytes")
+            values = b.column(held)
             known = [v.is_valid and any(map(str.isalpha, v.as_py().decode("utf-8", "replace"))) for v in values] if model else [False] * len(values)
             langs, scores = np.full(len(values), UNDETERMINED, object), np.zeros(len(values))
             if any(known):
@@ -218,8 +219,9 @@ def held_out(id_col: str = "doc_id"):
 def identify(df: DataFrame, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """``df`` without the rows whose language can't be told: no letter in the text, or a score below ``min_score``."""
     net = fit(df.filter(~held_out(id_col)), label_col, text_col)
-    out = predict(df, net, df.columns, text_col, "__pred", "__score")
-    return out.filter((F.col("__pred") != UNDETERMINED) & (F.col("__score") >= min_score)).select(*df.columns)
+    pred, score = fresh(df, "__pred", "__score")
+    out = predict(df, net, df.columns, text_col, pred, score)
+    return out.filter((F.col(pred) != UNDETERMINED) & (F.col(score) >= min_score)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
