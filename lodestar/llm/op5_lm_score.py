@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 import uuid
 from collections.abc import Callable
 
@@ -28,7 +29,7 @@ from lodestar.llm.common import discard, documents, scratch_root, written
 ORDER = 3
 BACKOFF = 0.4
 #: Bytes of text in a block and in a bucket's share, about.
-BLOCK, BUCKET = 6 << 20, 8 << 20
+BLOCK, BUCKET = 4 << 20, 8 << 20
 #: Blocks and buckets that a small table has at least: their number follows the text, not the cluster.
 SPREAD = 16
 
@@ -54,7 +55,7 @@ class Level:
         part[1:] |= d[1:] != d[:-1]
         self.distinct, self.counts = g[new], np.diff(np.r_[np.flatnonzero(new), len(g)])
         own = np.diff(np.r_[np.flatnonzero(part), len(g)])[np.cumsum(part) - 1] if len(g) else np.zeros(0, np.int64)
-        self.which, self.own = np.empty(len(g), np.int64), np.empty(len(g), np.int64)
+        self.which, self.own = np.empty(len(g), np.int32), np.empty(len(g), np.int32)
         self.which[order], self.own[order] = np.cumsum(new) - 1, own
 
 
@@ -64,12 +65,11 @@ class Block:
     def __init__(self, texts: list[str | None]) -> None:
         parts = [(h, of) for h, of, _, _, _ in words.blocks(texts)]
         self.h = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)])
-        self.of = np.concatenate([np.zeros(0, np.int64), *(of for _, of in parts)])
+        self.of = np.concatenate([np.zeros(0, np.int32), *(of.astype(np.int32) for _, of in parts)])
         self.n = np.bincount(self.of, minlength=len(texts))
         first = np.cumsum(self.n) - self.n
-        self.place = np.arange(len(self.h)) - first[self.of]  # words before it in its document
+        self.place = (np.arange(len(self.h)) - first[self.of]).astype(np.int32)  # words before it in its document
         self.elsewhere: list[np.ndarray] = []  # for each order, how often the n-gram that ends here occurs in other documents
-        self.hash = np.zeros(len(self.h), np.uint64)
 
     def level(self) -> tuple[Level, np.ndarray]:
         """The next order's n-grams that may occur elsewhere, and where they end."""
@@ -107,8 +107,10 @@ class Block:
 
 def _release(spark: SparkSession) -> None:
     """Lets the cluster drop shuffle files of tables that are written: the driver's JVM otherwise keeps them until it collects."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first collection lets go of, the second one's cleaner sees
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _totals(sent: DataFrame) -> DataFrame:
