@@ -41,13 +41,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return 0
     joined = b" ".join(words)
     cuts = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = [0, *(cuts + 1).tolist()]
-    ends = [*cuts.tolist(), len(joined)]
+    starts, ends = np.r_[0, cuts + 1], np.r_[cuts, len(joined)]
     n = max(1, len(words) - shingle + 1)
     ends = ends[-1:] if len(words) < shingle else ends[shingle - 1 :]
     digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, n, STEP):
-        pairs = zip(starts[at : min(n, at + STEP)], ends[at : at + STEP], strict=True)
+        to = min(n, at + STEP)
+        pairs = zip(starts[at:to].tolist(), ends[at:to].tolist(), strict=True)
         h = np.array([digest(joined[s:e], SEED) for s, e in pairs], np.uint64)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])

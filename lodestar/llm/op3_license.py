@@ -52,6 +52,8 @@ WIDTH, STRIDE = 32, 16
 #: Pieces of corpus text, of so many characters, that training takes at most.
 SAMPLE, PIECE = 1500, 400
 CONFIDENT = 0.5
+#: Characters that are looked at together, and that parts of one line share: a window's worth of words.
+LONG, OVERLAP = 1 << 19, 300
 #: Share of a template's word pairs that must occur together in a window; different pairs of any terms that unknown ones need.
 CONFIRM, TERMS = 0.75, 2
 
@@ -159,6 +161,21 @@ def fit(corpus: list[str], seed: int = 3) -> Classifier:
     return model
 
 
+def _parts(text: str) -> Iterator[str]:
+    """Parts of about LONG characters, cut at the end of a line; within a line that is longer, at a blank, with OVERLAP."""
+    at = 0
+    while len(text) - at > LONG:
+        to = text.rfind("\n", at, at + LONG) + 1
+        if to <= at:
+            to = text.rfind(" ", at + LONG // 2, at + LONG) + 1 or at + LONG
+            yield text[at:to]
+            at = to - OVERLAP
+        else:
+            yield text[at:to]
+            at = to
+    yield text[at:]
+
+
 class Scanner:
     def __init__(self, model: Classifier) -> None:
         self.model = model
@@ -177,7 +194,15 @@ class Scanner:
         return max(float(np.isin(t, pairs if len(t) > 1 or t[0] in pairs else h).mean()) for t in self.templates[family])
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, float, float]]:
-        """(text number, line, family or unknown, probability, share of a template), the best of each line and family."""
+        """(text number, line, family or unknown, probability, share of a template), the best of each line and family.
+
+        Texts beyond LONG characters go in parts that end with a line, so that memory doesn't follow the longest text.
+        """
+        parts = [(t, p) for t, text in enumerate(texts) for p in _parts(text or "")]
+        for p, line, family, chance, share in self._scan([p for _, p in parts]):
+            yield parts[p][0], line, family, chance, share
+
+    def _scan(self, texts: list[str]) -> Iterator[tuple[int, int, str, float, float]]:
         for h, of, line, _, _ in words.blocks(texts, keep_lines=True):
             if not len(h):
                 continue

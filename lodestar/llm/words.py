@@ -30,6 +30,33 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _cuts(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of about BLOCK bytes that end where a word can't go on: a long text needs no long tables."""
+    at = 0
+    while at < len(data):
+        to = min(len(data), at + BLOCK)
+        while to < len(data) and not (ends := np.flatnonzero(~_WORD[data[to - 1 : to - 1 + BLOCK]])).size:
+            to = min(len(data), to + BLOCK)
+        to = min(len(data), to + int(ends[0])) if to < len(data) else to
+        yield at, to
+        at = to
+
+
+def _hashes(data: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of a part."""
+    word = _WORD[data]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if word[0]:
+        edge = np.r_[0, edge]
+    if word[-1]:
+        edge = np.r_[edge, len(data)]
+    starts, ends = edge[::2], edge[1::2]
+    power, inverse = _tables(len(data) + 1)
+    sums = np.cumsum(np.where(word, data, 0).astype(np.uint64) * power[: len(data)])
+    before = np.where(starts > 0, sums[np.maximum(starts, 1) - 1], np.uint64(0))
+    return mixed((sums[ends - 1] - before) * inverse[starts] + (ends - starts).astype(np.uint64)), starts + offset
+
+
 def blocks(texts: list[str | None], keep_lines: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
     """(hash, text number, line number or empty, first text, end) for the words of a few texts at a time.
 
@@ -44,15 +71,8 @@ def blocks(texts: list[str | None], keep_lines: bool = False) -> Iterator[tuple[
             size += len(parts[-1])
             to += 1
         data = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
-        word = _WORD[data]
-        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-        if word[0]:
-            edge = np.r_[0, edge]
-        starts, ends = edge[::2], edge[1::2]
-        power, inverse = _tables(len(data) + 1)
-        sums = np.cumsum(np.where(word, data, 0).astype(np.uint64) * power[: len(data)])
-        before = np.where(starts > 0, sums[np.maximum(starts, 1) - 1], np.uint64(0))
-        hashes = mixed((sums[ends - 1] - before) * inverse[starts] + (ends - starts).astype(np.uint64))
+        found = [_hashes(data[x:y], x) for x, y in _cuts(data)]
+        hashes, starts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         of = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), starts, side="right") + at
         lines = np.cumsum((data == 10) | (data == 0))[starts] if keep_lines else np.zeros(0, np.int64)
         yield hashes, of, lines, at, to
