@@ -66,3 +66,15 @@ def padded(col: Column, width: int) -> Column:
     digits = F.abs(col.cast("decimal(38,0)")).cast("string")
     sign = F.when(col < 0, "-").otherwise("")
     return F.concat(sign, F.lpad(digits, F.greatest(F.length(digits), F.lit(width) - F.length(sign)), F.lit("0")))
+
+
+def resumable(col: Column, offset: Column | int, length: int) -> Column:
+    """Part of a value and the offset at which to go on, as a struct (content, next)."""
+    start = F.lit(offset) if isinstance(offset, int) else offset
+    part = F.substring(col, start + 1, F.lit(length))
+    return F.struct(part.alias("content"), (start + F.length(part)).cast("long").alias("next"))
+
+
+def typed(col: Column, kind: str) -> Column:
+    """Text as a typed value, null where it isn't one; booleans also as 1 and 0."""
+    return F.when(col == "1", True).when(col == "0", False).otherwise(col.try_cast(kind)) if kind == "boolean" else col.try_cast(kind)

@@ -206,6 +206,11 @@ def char_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("key", F.substring("value", 6, 1).alias("value"))
 
 
+@query("SELECT doc_id AS key, substr(text, 101, 50) AS content, 100 + length(substr(text, 101, 50)) AS next FROM documents")
+def extract_resumable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("key", t.resumable(F.col("value"), 100, 50).alias("r")).select("key", "r.*")
+
+
 @query("SELECT page_id, split_part(substr(url, 9), '/', 1) AS host FROM pages")
 def extract_until(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", t.until(F.col("url"), 8, "/").alias("host"))
@@ -275,6 +280,14 @@ def regex_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir).regex_search("(tion)")
 
 
+@query(f"""
+WITH {_PLACED}, a AS ({_split("and", "strlen", "pos", "placed")}) SELECT pos + "offset" AS "offset", 3 AS length FROM a ORDER BY 1 DESC LIMIT 10
+""")
+def regex_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten last matches of the collection, as a report."""
+    return _flat(spark, sf_dir).regex_search("(and)").orderBy(F.desc("offset")).limit(10)
+
+
 # --- tables ------------------------------------------------------------------------------------------------------
 
 
@@ -349,6 +362,13 @@ def number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "nation").select("n_nationkey", t.padded(F.col("n_nationkey"), 5).alias("padded"))
 
 
+@query("SELECT p_partkey, try_cast(p_size::VARCHAR AS INT) AS size, try_cast(p_name AS DOUBLE) AS none, try_cast(p_retailprice::VARCHAR AS DOUBLE) AS price FROM part")
+def text_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _read(spark, sf_dir, "part")
+    kinds = (("p_size", "int", "size"), ("p_name", "double", "none"), ("p_retailprice", "double", "price"))
+    return part.select("p_partkey", *[t.typed(F.col(c).cast("string"), k).alias(n) for c, k, n in kinds])
+
+
 @query(r"""
 SELECT doc_id AS key, CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN strlen(regexp_extract(text, '^[\x00-\x7F]*')) ELSE -1 END AS place FROM documents
 """)

@@ -26,6 +26,12 @@ def load(spark: SparkSession, path: str, level: StorageLevel | None = None) -> D
     return df.persist(level) if level else df
 
 
+def stored_size(spark: SparkSession, path: str) -> int:
+    """Bytes that a saved table takes where it is stored, compressed as it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def text_records(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """``value``: a record for each line, or for each file."""
     return spark.read.text(path, wholetext=whole)
