@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -46,13 +51,26 @@ def delimited(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
     return spark.read.option("sep", sep).option("header", True).csv(path)
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; one of our own only where the cluster names none."""
-    import tempfile
-    import uuid
+    """A fresh path in the folder that all executors share; one of our own only where the cluster names none.
 
+    What is written there goes when the driver ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lodestar-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/lodestar-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the session may be gone by then
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
