@@ -5,7 +5,9 @@ blocks: of two linked fingerprints at least two blocks agree, so that each pair
 fingerprint belongs to (one for each two blocks and their value). A shard's BK-tree (children keyed by the integer
 Hamming distance to the parent) is built where the shard lies and walked along the edges within the radius only. A
 walk removes what it has linked, so a dense group of near copies costs about as many steps as it has members, and a
-shard yields a spanning forest, never its pairs. Distinct fingerprints only enter: exact copies count once.
+shard yields a spanning forest, never its pairs. Distinct fingerprints only enter: exact copies count once. A shard with
+more than LARGE members is dealt into parts, and each two parts make a tree of their own, so that no task holds more than
+about two parts and any two members still meet.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ AGREE = len(BLOCKS) - RADIUS
 STEP = 1 << 16
 #: Members from which on a part of a tree gets a node of its own instead of being a plain list.
 LEAF = 12
+#: Members of a shard up to which it is one tree.
+LARGE = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -131,18 +135,24 @@ def _fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Da
     return rows.mapInArrow(run, f"id {kind}, fp long, h long")
 
 
-def _shards(fps: DataFrame) -> DataFrame:
-    """Each fingerprint once for each two blocks: the pair's number and the bits of the two."""
+def _shards(fps: DataFrame, large: int) -> DataFrame:
+    """Each fingerprint once for each two blocks (the pair's number and the bits of the two) and each two parts of that shard."""
     starts = np.cumsum([0, *BLOCKS])
     keys = []
     for k, blocks in enumerate(combinations(range(len(BLOCKS)), AGREE)):
         mask = sum(((1 << BLOCKS[i]) - 1) << int(starts[i]) for i in blocks)
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
         keys.append(F.struct(F.lit(k).alias("pair"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("bits")))
-    return fps.select("fp", F.inline(F.array(*keys)))
+    each = fps.select("fp", F.inline(F.array(*keys)))
+    sizes, _ = written(each.groupBy("pair", "bits").count().filter(F.col("count") > large), "large-shards")
+    each = each.join(sizes.withColumn("parts", F.ceil(F.col("count") / large)).drop("count"), ["pair", "bits"], "left")
+    mine = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: x != mine)
+    cells = F.transform(others, lambda x: F.least(x, mine) * F.col("parts") + F.greatest(x, mine))
+    return each.select("fp", "pair", "bits", F.explode(F.coalesce(cells, F.array(F.lit(0).cast("long")))).alias("cell"))
 
 
-def _links(fps: DataFrame) -> DataFrame:
+def _links(fps: DataFrame, large: int) -> DataFrame:
     """A spanning forest of links within each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,18 +160,18 @@ def _links(fps: DataFrame) -> DataFrame:
         key = None
         for b in batches:
             n = b.num_rows
-            pair, bits, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "bits", "fp"))
-            cuts = np.flatnonzero((pair[1:] != pair[:-1]) | (bits[1:] != bits[:-1])) + 1
+            pair, bits, cell, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "bits", "cell", "fp"))
+            cuts = np.flatnonzero((pair[1:] != pair[:-1]) | (bits[1:] != bits[:-1]) | (cell[1:] != cell[:-1])) + 1
             # shards of one member end where they begin: only larger ones, and those at the batch's edges, are looked at
             starts, ends = np.r_[0, cuts], np.r_[cuts, n]
             out: list[tuple[int, int]] = []
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if n else ():
-                if s == 0 and key == (pair[0], bits[0]):
+                if s == 0 and key == (pair[0], bits[0], cell[0]):
                     held += fp[s:e].view(np.uint64).tolist()
                 elif e - s > 1 or s == 0 or e == n:
                     if len(held) > 1:
                         out += forest(held)
-                    held, key = fp[s:e].view(np.uint64).tolist(), (pair[s], bits[s])
+                    held, key = fp[s:e].view(np.uint64).tolist(), (pair[s], bits[s], cell[s])
             if out:
                 both = np.array(out, np.uint64).view(np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
@@ -169,7 +179,7 @@ def _links(fps: DataFrame) -> DataFrame:
             both = np.array([*forest(held)], np.uint64).view(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
-    shards = _shards(fps).repartition("pair", "bits").sortWithinPartitions("pair", "bits", "fp")
+    shards = _shards(fps, large).repartition("pair", "bits", "cell").sortWithinPartitions("pair", "bits", "cell", "fp")
     return shards.mapInArrow(run, "u long, v long")
 
 
@@ -201,16 +211,16 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
         state = now
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, large: int = LARGE) -> DataFrame:
     """One row per input row: id, fp (signed long), h (hash of the text), root (least fp of its group), component_id (its smallest id).
 
     Null and empty texts have fingerprint 0 and link like any other; a group without an id has a null component_id;
-    repeated rows are all returned; an empty table gives an empty result; other columns are ignored. A link is lost to
-    nothing: shards have no size limit and every row takes part.
+    repeated rows are all returned; an empty table gives an empty result; other columns are ignored. No link is lost:
+    shards beyond ``large`` members are dealt out, none of them is left out, and every row takes part.
     """
     prints, _ = written(_fingerprints(df, id_col, text_col, shingle), "fingerprints")
     fps, fps_path = written(prints.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    roots, roots_path = components(_links(fps))
+    roots, roots_path = components(_links(fps, large))
     at = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = at.groupBy("root").agg(F.min("low").alias("component_id"))
     at, _ = written(at.join(lowest, "root").select("fp", "root", "component_id"), "fingerprint-groups")

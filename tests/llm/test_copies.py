@@ -175,6 +175,21 @@ def test_forest_spans_components():
         assert all(want[a] == want[b] for a, b in edges)
 
 
+@pytest.mark.parametrize("large", [7, 1000])
+def test_shards_dealt_into_parts_lose_no_link(spark, large):
+    rng = random.Random(3)
+    centres = [rng.getrandbits(64) for _ in range(3)]
+    members = list({rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(250)})
+    members += [rng.getrandbits(64) for _ in range(100)]
+    want = roots(members, lambda a, b: (a ^ b).bit_count() <= 4)
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    links = op10_simhash._links(spark.createDataFrame([(signed(x),) for x in members], "fp long"), large).collect()
+    assert all(want[r.u % 2**64] == want[r.v % 2**64] for r in links)
+    edges = {frozenset((r.u % 2**64, r.v % 2**64)) for r in links}
+    got = roots(members, lambda a, b: frozenset((a, b)) in edges)
+    assert len({(want[x], got[x]) for x in members}) == len(set(want.values())) == len(set(got.values()))
+
+
 def test_linked_chains_across_shards(spark):
     chain = [0]
     for i in range(15):
