@@ -79,6 +79,7 @@ class Tiler:
         self.gram, self.of, self.at = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((gram, np.uint64), (of, np.int64), (at, np.int64)))
         order = np.argsort(self.gram, kind="stable")
         self.gram, self.of, self.at = self.gram[order], self.of[order], self.at[order]
+        self.sizes = np.array([len(w) for w in self.words])
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.gram >> np.uint64(42)] = True
 
@@ -92,24 +93,43 @@ class Tiler:
             if not len(hit):
                 continue
             bounds = np.searchsorted(of, np.arange(first, end + 1))
-            pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for k in hit.tolist():
-                s = int(start[maybe[k]])
-                t = int(of[s])
-                for x in range(int(lo[k]), int(hi[k])):
-                    pairs.setdefault((t, int(self.of[x])), []).append((s - int(bounds[t - first]), int(self.at[x])))
-            for (t, item), seeds in sorted(pairs.items()):
-                size = len(self.words[item])
-                # words that seeds touch bound what tiles can cover
-                touched = np.zeros(size, bool)
-                for _, j in seeds:
-                    touched[j : j + self.least] = True
-                if touched.sum() < self.coverage * size:
-                    continue
-                found = tiles(h[bounds[t - first] : bounds[t - first + 1]], self.words[item], seeds, self.least)
-                share = sum(n for _, _, n in found) / size
-                if share >= self.coverage:
-                    yield t, item, share, len(found), max(n for _, _, n in found)
+            at, lo, hi = start[maybe[hit]], lo[hit], hi[hit]
+            text = of[at]
+            cuts = np.flatnonzero(np.r_[True, text[1:] != text[:-1], True])
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                t = int(text[a])
+                begin = bounds[t - first]
+                for item, seeds in self._candidates(at[a:z] - begin, lo[a:z], hi[a:z]):
+                    found = tiles(h[begin : bounds[t - first + 1]], self.words[item], seeds, self.least)
+                    share = sum(n for _, _, n in found) / len(self.words[item])
+                    if share >= self.coverage:
+                        yield t, item, share, len(found), max(n for _, _, n in found)
+
+    def _candidates(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Items that one text may cover, with their seeds; at: the text's grams that items have, as lo to hi.
+
+        What seeds touch bounds what tiles can cover. It follows from the text's distinct grams, so that a phrase that
+        many items share costs one step an item, not one for each time the text says it.
+        """
+        kinds, where = np.unique(lo, return_index=True)
+        many = hi[where] - kinds
+        kind = np.repeat(kinds, many)
+        place = kind + np.arange(len(kind)) - np.repeat(np.cumsum(many) - many, many)
+        order = np.lexsort((self.at[place], self.of[place]))
+        kind, item, pos = kind[order], self.of[place][order], self.at[place][order]
+        same = item[1:] == item[:-1]
+        step = np.full(len(item), self.least)
+        step[:-1][same] = np.minimum(self.least, (pos[1:] - pos[:-1])[same])
+        cuts = np.flatnonzero(np.r_[True, ~same, True])
+        touched = np.add.reduceat(step, cuts[:-1])
+        for k in np.flatnonzero(touched >= self.coverage * self.sizes[item[cuts[:-1]]]).tolist():
+            own = slice(cuts[k], cuts[k + 1])
+            by_kind = np.argsort(kind[own], kind="stable")
+            kind_of, pos_of = kind[own][by_kind], pos[own][by_kind]
+            left, right = (np.searchsorted(kind_of, lo, side=s) for s in ("left", "right"))
+            n = right - left
+            j = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield int(item[cuts[k]]), list(zip(np.repeat(at, n).tolist(), pos_of[j].tolist(), strict=True))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:

@@ -120,6 +120,23 @@ def test_tiles_against_definition():
         assert sorted(op6_decontaminate.tiles(doc, item, seeds, 3)) == sorted(greedy(doc.tolist(), item.tolist(), 3))
 
 
+def test_tiler_against_definition():
+    """Phrases that nearly all items share, and items that repeat themselves."""
+    rng = random.Random(5)
+    for _ in range(25):
+        say = lambda n: " ".join(rng.choice("abc") if rng.random() < 0.9 else rng.choice("defgh") for _ in range(n))
+        items = [(k, say(rng.randint(0, 14))) for k in range(12)]
+        texts = [say(rng.randint(0, 60)) for _ in range(6)] + [items[3][1] * 2, None]
+        got = {(t, i): (round(share, 9), n, longest) for t, i, share, n, longest in op6_decontaminate.Tiler(items, 3, 0.5)(texts)}
+        want = {}
+        for t, text in enumerate(texts):
+            for k, item in items:
+                found = greedy((text or "").split(), item.split(), 3)
+                if found and sum(n for _, _, n in found) >= 0.5 * len(item.split()):
+                    want[t, k] = (round(sum(n for _, _, n in found) / len(item.split()), 9), len(found), max(n for _, _, n in found))
+        assert got == want
+
+
 def test_leaks(spark):
     rng = random.Random(6)
     say = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(n))
