@@ -323,3 +323,20 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir))
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT rid, i, md5(b[i + 1:i + 400]) AS m FROM (SELECT rid, b, unnest(range(0, n - 399)) AS i FROM d)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY m) AS c FROM w) WHERE c > 1),
+e AS (SELECT rid, i, coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i) > 400, true)::INT AS new FROM r),
+s AS (SELECT rid, min(i) AS a, max(i) + 400 AS z FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS k FROM e) GROUP BY rid, k),
+k AS (SELECT rid, a, z, lag(z, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS y FROM s),
+p AS (
+  SELECT rid, string_agg(hex(b[y + 1:a]), '' ORDER BY a) AS kept, sum(z - a) AS gone, count(*) AS spans, max(z) AS last
+  FROM k JOIN d USING (rid) GROUP BY rid
+)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || hex(b[coalesce(last, 0) + 1:n]))) AS kept_sha256
+FROM d LEFT JOIN p USING (rid)
+"""

@@ -226,4 +226,33 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_co
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(documents(spark, sf_dir))
+    """Scores to six places: sums of logarithms vary beyond these with the order of adding."""
+    scores = lm_scores(documents(spark, sf_dir))
+    return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
+
+
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS words FROM documents
+),
+w AS (SELECT rid, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM d),
+g AS (
+  SELECT rid, i, w AS g1, lag(w) OVER p || ' ' || w AS g2, lag(w, 2) OVER p || ' ' || lag(w) OVER p || ' ' || w AS g3
+  FROM w WINDOW p AS (PARTITION BY rid ORDER BY i)
+),
+n AS (
+  SELECT rid, i, greatest(1, count(*) OVER () - count(*) OVER (PARTITION BY rid)) AS rest,
+         count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY rid, g1) AS n1,
+         CASE WHEN g2 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY rid, g2) END AS n2,
+         CASE WHEN g3 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY rid, g3) END AS n3
+  FROM g
+),
+s AS (
+  SELECT rid, (least(i, 3) - CASE WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 WHEN n1 > 0 THEN 1 ELSE 0 END) * ln(0.4)
+              + CASE WHEN n3 > 0 THEN ln(n3 / lag(n2) OVER p) WHEN n2 > 0 THEN ln(n2 / lag(n1) OVER p) WHEN n1 > 0 THEN ln(n1 / rest) ELSE -ln(rest) END AS score
+  FROM n WINDOW p AS (PARTITION BY rid ORDER BY i)
+),
+t AS (SELECT rid, count(*) AS n_words, sum(score) AS log_score FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(log_score, 0), 6) AS log_score, round(log_score / n_words, 6) AS mean_log_score
+FROM d LEFT JOIN t USING (rid)
+"""

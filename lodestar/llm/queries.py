@@ -25,4 +25,4 @@ QUERIES = {
     "op9_secrets": op9.op9_secrets,
     "op10_simhash": op10.op10_simhash,
 }
-ORACLE = {"op2_exact_dedup": op2.SQL, "op9_secrets": op9.SQL}
+ORACLE = {"op2_exact_dedup": op2.SQL, "op4_suffix_dedup": op4.SQL, "op5_lm_score": op5.SQL, "op9_secrets": op9.SQL}
