@@ -36,6 +36,8 @@ STEP = 1 << 16
 LEAF = 12
 #: Members of a shard up to which it is one tree.
 LARGE = 1 << 16
+#: Links of a fingerprint from which on its minimum is broadcast to them, so that they needn't meet in one task.
+HUB = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -183,18 +185,23 @@ def _links(fps: DataFrame, large: int) -> DataFrame:
     return shards.mapInArrow(run, "u long, v long")
 
 
-def components(links: DataFrame) -> tuple[DataFrame, str]:
+def components(links: DataFrame, hub: int = HUB) -> tuple[DataFrame, str]:
     """The least member of each linked value's component (u, root), by alternating large and small stars.
 
     Minima are aggregated before they are shuffled and joined back, so that a hub's neighbours never meet in one list.
+    Those of values with more than ``hub`` links are broadcast: of n links 2n / ``hub`` such values at most.
     """
     spark = links.sparkSession
     edges, path = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
 
-    def starred(e: DataFrame, large: bool) -> DataFrame:
+    def starred(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.union(e.select("v", "u").toDF("u", "v")) if large else e
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = both.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        if n > hub:
+            told = both.join(F.broadcast(least.filter(F.col("n") > hub)), "u", "left")
+            joined = told.filter("m is null").select("u", "v").join(least.filter(F.col("n") <= hub), "u").unionByName(told.filter("m is not null"))
+        else:
+            joined = both.join(least, "u")
         if large:
             return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         return joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
@@ -202,7 +209,8 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     total = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     state = total(edges)
     while True:
-        nxt, new = written(starred(starred(edges, True), False), "links")
+        n = 2 * state[0]
+        nxt, new = written(starred(starred(edges, True, n), False, n), "links")
         discard(spark, path)
         edges, path = nxt, new
         now = total(edges)

@@ -197,3 +197,12 @@ def test_linked_chains_across_shards(spark):
     links = spark.createDataFrame([(a, b) for a, b in zip(chain, chain[1:], strict=False)] + [(7, 7)], "u long, v long")
     got, _ = op10_simhash.components(links)
     assert {r.u: r.root for r in got.collect()} == {c: 0 for c in chain[1:]}
+
+
+@pytest.mark.parametrize("hub", [2, 10**6])
+def test_components_with_hubs(spark, hub):
+    rng = random.Random(2)
+    edges = [(5, 100 + i) for i in range(40)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(140, 300)]
+    want = roots(sorted({x for e in edges for x in e}), lambda a, b: (a, b) in edges or (b, a) in edges)
+    got, _ = op10_simhash.components(spark.createDataFrame(edges, "u long, v long"), hub)
+    assert {r.u: r.root for r in got.collect()} == {x: r for x, r in want.items() if x != r}
