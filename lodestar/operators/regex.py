@@ -46,3 +46,10 @@ def global_matches(records: DataFrame, pattern: str, value: str = "value", greed
     """(``offset``, ``length``) of each match in the whole collection, in bytes."""
     found = matches(records, pattern, ["global_offset"], value, greedy, binary=True)
     return found.select((F.col("global_offset") + F.col("offset")).alias("offset"), "length")
+
+
+def in_order(found: DataFrame, by: str = "front") -> DataFrame:
+    """Matches by where they begin (``front``) or end (``end``), the shorter first where these agree."""
+    if by not in ("front", "end"):
+        raise ValueError(f"by must be 'front' or 'end', not {by!r}")
+    return found.orderBy(F.col("offset") if by == "front" else F.col("offset") + F.col("length"), "length")

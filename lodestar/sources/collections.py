@@ -21,6 +21,9 @@ class _Collection:
         self.df = self.df.persist(level)
         return self
 
+    def cache(self):
+        return self.persist()
+
     def unpersist(self):
         self.df = self.df.unpersist()
         return self
