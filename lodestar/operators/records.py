@@ -5,30 +5,52 @@ Rows are range-partitioned by key; each partition counts for itself, and what li
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import byte_text, byte_view, checked
+from lodestar.sources.storage import scratch
 
 #: Bytes in one bucket of the offset lookup.
 BUCKET = 1 << 16
 
 
 def numbered(df: DataFrame, key: str, value: str | None = None, first_id: int = 0, first_offset: int = 0) -> DataFrame:
-    """Add ``record_id`` (dense, by ``key``) and, given ``value``, ``global_offset``: bytes and a newline for each before."""
+    """Add ``record_id`` (dense, by ``key``) and, given ``value``, ``global_offset``: bytes and a newline for each before.
+
+    Runs a job: the rows are written in order, once, to the folder that executors share. Splitters of range partitions
+    are sampled anew wherever a plan computes them, so counts and rows must come from the same written partitions.
+    """
     size = F.coalesce(F.octet_length(F.col(value)), F.lit(0)) + 1 if value else F.lit(1)
-    parts = df.repartitionByRange(key).sortWithinPartitions(key).withColumns({"__part": F.spark_partition_id(), "__size": size.cast("long"), "__at": F.monotonically_increasing_id()})
+    parts = df.withColumn("__size", size.cast("long")).repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id())
+    if value:
+        parts = parts.mapInArrow(_running, parts.withColumn("__local", F.lit(0).cast("long")).schema)
+    path = scratch(df.sparkSession, "records")
+    parts.write.parquet(path)
+    placed = df.sparkSession.read.schema(parts.schema).parquet(path).withColumn("__part", F.shiftright("__at", 33))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    sums = parts.groupBy("__part").agg(F.sum("__size").alias("__bytes"), F.count("*").alias("__rows"))
-    sums = sums.select("__part", F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__bytes"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows"))
-    so_far = W.partitionBy("__part").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
-    local = parts.withColumn("__local", F.coalesce(F.sum("__size").over(so_far), F.lit(0)))
-    local = local.join(F.broadcast(sums), "__part")  # one row a partition
+    sums = placed.groupBy("__part").agg(F.sum("__size").alias("__bytes"), F.count("*").alias("__rows"))
+    sums = sums.select("__part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__bytes", "__rows")])
+    placed = placed.join(F.broadcast(sums), "__part")  # one row a partition
     place = {"record_id": F.col("__rows") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(first_id)}
     if value:
         place["global_offset"] = F.col("__bytes") + F.col("__local") + F.lit(first_offset)
-    return local.withColumns(place).drop("__part", "__size", "__at", "__bytes", "__rows", "__local")
+    return placed.withColumns(place).select(*df.columns, *place)
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each row the sizes of those before it in its partition."""
+    total = 0
+    for b in batches:
+        sizes = b.column("__size").to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes) + total
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends - sizes)], [*b.schema.names, "__local"])
+        total = int(ends[-1]) if len(ends) else total
 
 
 def total_size(records: DataFrame, value: str = "value") -> DataFrame:

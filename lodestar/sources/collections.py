@@ -1,6 +1,7 @@
 """The collections a user works with: flat records, keyed values, JSON documents and typed tables.
 
-Each is a thin class around a DataFrame. Methods that give tables are lazy; those that give one value run a job.
+Each is a thin class around a DataFrame. Methods that give tables are lazy, but for ``build`` and ``bulk_append`` of what
+has dense ids, which write the rows in order; those that give one value run a job.
 """
 
 from __future__ import annotations
