@@ -273,6 +273,15 @@ def regex_matches_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regex.matches(_read(spark, sf_dir, "conversations"), "(th|er){2,4}(on|e)*", ["conv_id", "turn"], "text")
 
 
+@query(f"""
+WITH a AS ({_split("er", "length", "conv_id, turn", "conversations")}), b AS ({_split("ers", "length", "conv_id, turn", "conversations")})
+SELECT conv_id, turn, "offset", 2 AS length FROM a UNION ALL SELECT conv_id, turn, "offset", 3 FROM b
+""")
+def regex_matches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every start and length, not the longest only."""
+    return regex.matches(_read(spark, sf_dir, "conversations"), "e(r|rs)", ["conv_id", "turn"], "text", greedy=False)
+
+
 @query(f"""
 WITH {_PLACED}, a AS ({_split("tion", "strlen", "pos", "placed")}) SELECT pos + "offset" AS "offset", 4 AS length FROM a
 """)
@@ -310,6 +319,8 @@ _table("table_startswith", "part", ["p_partkey", "p_type"], [("p_type", "startsw
 _table("table_endswith", "part", ["p_partkey", "p_type"], [("p_type", "endswith", "L")], "ends_with(p_type, 'L')")
 _table("table_contains", "part", ["p_partkey", "p_name"], [("p_name", "contains", "1")], "contains(p_name, '1')")
 _table("table_in", "orders", ["o_orderkey", "o_orderstatus"], [("o_orderstatus", "in", ["F", "P"])], "o_orderstatus IN ('F', 'P')")
+_table("table_between", "lineitem", _LINE, [("l_quantity", "between", (10.0, 20.0))], "l_quantity BETWEEN 10 AND 20")
+_table("table_null_safe", "orders", ["o_orderkey"], [("o_orderpriority", "eqnullsafe", "1-URGENT")], "o_orderpriority IS NOT DISTINCT FROM '1-URGENT'")
 _table("table_not_null", "orders", ["o_orderkey"], [("o_orderdate", "isnull", False)], "o_orderdate IS NOT NULL")
 _table(
     "table_conjunction", "lineitem", ["l_quantity", "l_orderkey", "l_linenumber"],
