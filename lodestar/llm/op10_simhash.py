@@ -40,22 +40,29 @@ LARGE = 1 << 16
 HUB = 1 << 20
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of the word shingles; 0 for a text without words."""
+def shingles(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the text's word shingles in order, STEP at most at a time; a shorter text is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     cuts = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = np.r_[0, cuts + 1], np.r_[cuts, len(joined)]
     n = max(1, len(words) - shingle + 1)
     ends = ends[-1:] if len(words) < shingle else ends[shingle - 1 :]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, STEP):
         to = min(n, at + STEP)
         pairs = zip(starts[at:to].tolist(), ends[at:to].tolist(), strict=True)
-        h = np.array([digest(joined[s:e], SEED) for s, e in pairs], np.uint64)
+        yield np.array([digest(joined[s:e], SEED) for s, e in pairs], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of the word shingles; 0 for a text without words."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in shingles(text, shingle):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -236,10 +243,13 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(at, "fp")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each group: the one with the smallest id (ties and groups without ids: by the text's hash)."""
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
+    """``df`` with one row of each group: the one with the smallest id (ties and groups without ids: by the text's hash).
+
+    ``groups`` are those of :func:`simhash_groups` unless others of the same shape are given (``near_copies.similar_groups``).
+    """
     first = W.partitionBy("root").orderBy("h")
-    groups = simhash_groups(df, id_col, text_col)
+    groups = simhash_groups(df, id_col, text_col) if groups is None else groups
     # the window sees rows with the group's smallest id only, not the group
     stays = groups.filter(F.col("id").eqNullSafe(F.col("component_id")))
     stays = stays.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("id", "h")
