@@ -43,11 +43,33 @@ def interleave(df: DataFrame, n_shards: int = 40, seed: int = 0, id_col: str = "
     return placed.withColumn("slot", F.expr(f"g - ((shard * n + {n_shards - 1}L) div {n_shards}L)")).drop("all", "share", "rank", "g", "n")
 
 
-def shard_documents(df: DataFrame, n_shards: int = 40, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``df`` with shard and slot (columns of these names give way): only narrow rows are ranked, the texts move once."""
+def deal(order: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
+    """id, h, shard, slot of the rows of a mixing order (id, source, h, mix_pos as ``op1_mix.mix`` gives them).
+
+    Each source's rows are dealt to the shards one by one in mixing order, and a shard's slots follow that order: sizes,
+    and the rows of a source in any prefix of the order, differ by one at most between shards.
+    """
+    if n_shards < 1:
+        raise ValueError("n_shards must be 1 or more")
+    narrow = order.select("id", "h", "mix_pos", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), F.lit(0).alias("all"))
+    listed, path = spread_rank(narrow, ["all"], ["no_source", "src", "mix_pos"], "g", "n", "deal-order")
+    listed = listed.select("id", "h", "mix_pos", F.pmod(F.col("g") + F.lit(seed).cast("long"), F.lit(n_shards).cast("long")).cast("int").alias("shard"))
+    dealt, _ = spread_rank(listed, ["shard"], ["mix_pos"], "slot", "n", "deal-slots")
+    discard(order.sparkSession, path)
+    return dealt.select("id", "h", "shard", "slot")
+
+
+def shard_documents(
+    df: DataFrame, n_shards: int = 40, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    order: DataFrame | None = None, order_seed: int = 0,
+) -> DataFrame:
+    """``df`` with shard and slot (columns of these names give way): only narrow rows are ranked, the texts move once.
+
+    With ``order``, the places that ``op1_mix.mix`` gives ``df`` under ``order_seed``, shards are dealt along it.
+    """
+    places = interleave(df, n_shards, seed, id_col, text_col, source_col) if order is None else deal(order, n_shards, seed)
     df = df.drop(*({"shard", "slot"} - {id_col, text_col, source_col}))
-    places = interleave(df, n_shards, seed, id_col, text_col, source_col)
-    return with_copies_placed(df, places, id_col, row_key(id_col, text_col, seed), {"shard": "shard", "slot": "slot"})
+    return with_copies_placed(df, places, id_col, row_key(id_col, text_col, seed if order is None else order_seed), {"shard": "shard", "slot": "slot"})
 
 
 def write_shards(df: DataFrame, path: str, **kwargs) -> None:
