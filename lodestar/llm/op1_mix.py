@@ -3,9 +3,9 @@
 The rows of a source, in seeded order, form blocks. A source with weight w is a Pfair task: its j-th block (from 0) may
 run from slot floor(j / w) and must run before slot ceil((j + 1) / w); of the released blocks the one with the earliest
 deadline runs next. With weights that add up to one all deadlines are met, so that in every prefix each source is less
-than one block away from its share. Weights are held as whole parts of a period; the schedule repeats with the period,
-so the driver plans one period for each set of sources that still have blocks, whatever the rows, and every block's
-slot follows from it by arithmetic. Where a source runs out, a new phase begins, in which the others keep their
+than one block away from its share. Weights are exact rationals, never rounded: windows come from whole numbers in their
+ratio. One task plans the blocks in slot order, holding a few numbers a source, and writes them as a table of one row a
+block, which the rows are joined with. Where a source runs out, a new phase begins, in which the others keep their
 proportions: no row is dropped or repeated.
 """
 
@@ -14,17 +14,23 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import documents, fresh, row_key, spread_rank, with_copies_placed
+from lodestar.llm.common import documents, fresh, row_key, spread_rank, with_copies_placed, written
 from lodestar.llm.op7_shard import keyed
 
-#: Parts a period is dealt in: weights are exact to one part.
+#: Parts a period is dealt in by :func:`plan`, whose weights are exact to one part; :func:`schedule` has no period.
 PERIOD = 1000
 MAX_SOURCES = 1000
+#: Blocks that the planning task passes on at once.
+BATCH = 1 << 14
 
 
 def parts_of(weights: list[float], period: int) -> list[int]:
@@ -101,9 +107,68 @@ def slot_of(phases: list[Phase], block: int) -> int:
     return p.start + (block - p.begin) // p.parts * p.period + p.slots[(block - p.begin) % p.parts]
 
 
+def schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(source, block, phase, release, deadline, slot) of each block, in slot order, by the exact ratio of the weights.
+
+    Sources of weight 0 follow when all others have run out, in proportion to their blocks. Memory is by source.
+    """
+    done = [0] * len(blocks)
+    start = phase = 0
+    for named in (True, False):
+        of = [i for i, w in enumerate(weights) if (w > 0) == named]
+        exact = {i: Fraction(weights[i]) if named else Fraction(blocks[i]) for i in of}
+        scale = math.lcm(*[w.denominator for w in exact.values()])
+        while active := [i for i in of if done[i] < blocks[i]]:
+            parts = {i: int(exact[i] * scale) for i in active}
+            whole = sum(parts.values())
+            first = {i: done[i] for i in active}
+            waiting = [(0, i) for i in active]  # release of the next block
+            ready: list[tuple[int, int, int]] = []
+            t, over = 0, False
+            while not over:
+                while waiting and waiting[0][0] <= t:
+                    release, i = heapq.heappop(waiting)
+                    heapq.heappush(ready, (-(-(done[i] - first[i] + 1) * whole // parts[i]), i, release))
+                deadline, i, release = heapq.heappop(ready)
+                yield i, done[i], phase, start + release, start + deadline, start + t
+                done[i] += 1
+                t += 1
+                over = done[i] == blocks[i]
+                heapq.heappush(waiting, ((done[i] - first[i]) * whole // parts[i], i))
+            start += t
+            phase += 1
+
+
+def _planned(spark: SparkSession, sources: list[tuple[bool, str, int]], weights: list[float], block_rows: int) -> DataFrame:
+    """One row a block: its source, phase, release, deadline, slot and the position of its first row."""
+    blocks = [-(-n // block_rows) for *_, n in sources]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        begin, found = 0, schedule(blocks, weights)
+        while part := list(islice(found, BATCH)):
+            begins = []
+            for i, block, *_ in part:
+                begins.append(begin)
+                begin += min(block_rows, sources[i][2] - block * block_rows)
+            of, *numbers = zip(*part, strict=True)
+            names = [pa.array([sources[i][0] for i in of], pa.bool_()), pa.array([sources[i][1] for i in of], pa.string())]
+            block, phase, release, deadline, slot = numbers
+            # a window of a source of next to no weight may end beyond what a long holds
+            late = [min(x, (1 << 63) - 1) for x in deadline]
+            yield pa.RecordBatch.from_arrays(
+                [*names, pa.array(block, pa.int64()), pa.array(phase, pa.int32()), pa.array(release, pa.int64()), pa.array(late, pa.int64()), pa.array(slot, pa.int64()), pa.array(begins, pa.int64())],
+                ["no_source", "src", "block", "phase", "release", "deadline", "slot", "begin"],
+            )
+
+    kind = "no_source boolean, src string, block long, phase int, release long, deadline long, slot long, begin long"
+    return written(spark.range(0, 1, 1, 1).mapInArrow(run, kind), "mix-schedule")[0]
+
+
 def mix(
     df: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_rows: int = 64, seed: int = 0,
-    period: int = PERIOD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """One row per input row: id, source, h, block, phase, release, deadline, slot, mix_pos (gapless from 0).
 
@@ -112,46 +177,19 @@ def mix(
     ids and repeated rows are placed like any other; an empty table gives an empty result; other columns are ignored.
     The driver holds one number a source, for MAX_SOURCES sources at most: with more it raises ValueError.
     """
-    spark = df.sparkSession
     narrow = keyed(df, id_col, text_col, source_col, seed)
     ranked, _ = spread_rank(narrow, ["no_source", "src"], ["h", "id", "crc", "bytes"], "rank", "of", "mix-ranks")
     counts = ranked.groupBy("no_source", "src").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; give related ones a common name")
     counts = sorted(counts, key=lambda r: (r.no_source, r.src))
-    blocks = [-(-r.n // block_rows) for r in counts]
     target = [r.n**power if weights is None else weights.get(None if r.no_source else r.src, 0) for r in counts]
     if any(w < 0 or not math.isfinite(w) for w in target):
         raise ValueError("weights must be finite and not negative")
-    phases: list[list[Phase]] = [[] for _ in counts]
-    start = 0
-    for named in (True, False):  # sources without a weight come last, by their rows
-        of = [i for i, w in enumerate(target) if (w > 0) == named]
-        for i, found in zip(of, plan([blocks[i] for i in of], [target[i] or counts[i].n for i in of], period), strict=True):
-            phases[i] = [Phase(start + p.start, p.begin, p.end, p.parts, p.period, p.slots) for p in found]
-        start += sum(blocks[i] for i in of)
-    starts = sorted({p.start for ps in phases for p in ps})
-    planned = [(r.no_source, r.src, [(starts.index(p.start), p.start, p.begin, p.end, p.parts, p.period, p.slots) for p in ps]) for r, ps in zip(counts, phases, strict=True)]
-    kind = "no_source boolean, src string, phases array<struct<phase:int,start:bigint,begin:bigint,end:bigint,parts:int,period:int,slots:array<int>>>"
-    # bounded by MAX_SOURCES and the period, not by the rows
-    ranked = ranked.join(F.broadcast(spark.createDataFrame(planned, kind)), ["no_source", "src"])
-    # a source's last block may be short: positions after its slot move up
-    short = sorted((slot_of(ps, b - 1), b * block_rows - r.n) for r, ps, b in zip(counts, phases, blocks, strict=True) if r.n % block_rows)
-    gaps = F.lit(0).cast("long")
-    if short:
-        listed = F.array(*[F.struct(F.lit(s).cast("long").alias("slot"), F.lit(g).cast("long").alias("gap")) for s, g in short])
-        gaps = F.aggregate(F.filter(listed, lambda x: x["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x["gap"])
-    ranked = ranked.withColumn("block", F.expr(f"rank div {block_rows}L"))
-    ranked = ranked.withColumn("p", F.filter("phases", lambda p: (p["begin"] <= F.col("block")) & (F.col("block") < p["end"]))[0]).drop("phases")
-    ranked = ranked.withColumns({"q": F.expr("(block - p.begin) div p.parts"), "j": F.expr("(block - p.begin) % p.parts")})
-    ranked = ranked.withColumns({
-        "base": F.expr("p.start + q * p.period"),
-        "release": F.expr("p.start + q * p.period + (j * p.period) div p.parts"),
-        "deadline": F.expr("p.start + q * p.period + ((j + 1) * p.period + p.parts - 1) div p.parts"),
-        "slot": F.expr("p.start + q * p.period + element_at(p.slots, cast(j + 1 as int))"),
-    })
-    ranked = ranked.withColumn("mix_pos", F.col("slot") * block_rows + F.expr(f"rank % {block_rows}L") - gaps)
-    return ranked.select("id", "source", "h", "block", F.col("p.phase").alias("phase"), "release", "deadline", "slot", "mix_pos")
+    planned = _planned(df.sparkSession, [tuple(r) for r in counts], target, block_rows)
+    ranked = ranked.withColumn("block", F.expr(f"rank div {block_rows}L")).join(planned, ["no_source", "src", "block"])
+    ranked = ranked.withColumn("mix_pos", F.col("begin") + F.expr(f"rank % {block_rows}L"))
+    return ranked.select("id", "source", "h", "block", "phase", "release", "deadline", "slot", "mix_pos")
 
 
 def mix_documents(df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
