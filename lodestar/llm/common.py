@@ -14,10 +14,26 @@ from pyspark.sql import functions as F
 _made: dict[str, SparkSession] = {}
 
 
+#: Bytes of one Arrow batch between the JVM and Python, about; a longer text is a batch of its own.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python are bounded by bytes, not by rows alone, unless the session says how large they may be."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; only where that is unset, as in tests, one of our own."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; on one machine, where it is unset, one of our own.
+
+    RuntimeError on a cluster without it: a local folder would be another one on each executor.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -106,17 +122,43 @@ def row_key(id_col: str, text_col: str, seed: int) -> Column:
 
 def with_copies_placed(df: DataFrame, placed: DataFrame, id_col: str, key: Column, cols: dict[str, str]) -> DataFrame:
     """Give each row of ``df`` one of the rows of ``placed`` (id, h, ...) with the same id and key: of repeated rows each
-    gets another. ``cols`` names what is added: column of ``placed`` to new column. The texts move once.
+    gets another, or nulls where ``placed`` has fewer; rows it doesn't have go. ``cols`` names what is added: column of
+    ``placed`` to new column. ``key`` and ``h`` are never null.
+
+    The texts move once: the join's keys are not null, so that rows stay dealt as they are for numbering repeated ones.
     """
-    ident, h, other_id, other_h, places, place = fresh(df, "__id", "__h", "__other_id", "__other_h", "__places", "__place")
-    many = placed.groupBy("id", "h").agg(F.collect_list(F.struct(*cols)).alias(places)).toDF(other_id, other_h, places)
-    full = df.withColumns({ident: F.col(f"`{id_col}`"), h: key})
-    both = full.join(many, F.col(ident).eqNullSafe(F.col(other_id)) & F.col(h).eqNullSafe(F.col(other_h)))
-    nth = F.row_number().over(W.partitionBy(ident, h).orderBy(F.lit(0)))
-    both = both.withColumn(place, F.element_at(places, nth))
+    ident, none, h, places, place = fresh(df, "__id", "__none", "__h", "__places", "__place")
+    named = lambda c: {ident: F.coalesce(c.cast("string"), F.lit("")), none: c.isNull()}
+    many = placed.withColumns({"__key": F.col("h"), **named(F.col("id"))})
+    many = many.groupBy("__key", ident, none).agg(F.collect_list(F.struct(*cols)).alias(places)).withColumnRenamed("__key", h)
+    full = df.withColumns({h: key, **named(F.col(f"`{id_col}`"))})
+    nth = F.row_number().over(W.partitionBy(h, ident, none).orderBy(F.lit(0)))
+    both = full.join(many, [h, ident, none]).withColumn(place, F.get(places, nth - 1))
     return both.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"{place}.{c}").alias(new) for c, new in cols.items()])
 
 
+#: Keys that :func:`dealt_join` deals into parts at most: what it broadcasts is bounded, whatever the tables hold.
+MOST_HOT = 100_000
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str, least: int = 256) -> DataFrame:
+    """``many`` joined with ``one``, which has a row a key at most, without hot keys: a key of more rows than a bound is
+    dealt into parts, to each of which its row of ``one`` goes. ``many`` should be a written table, as it is counted first.
+
+    The bound is ``least`` rows or a MOST_HOT-th of the table, so that MOST_HOT keys at most are broadcast.
+    """
+    n = many.count()
+    bound = max(least, -(-n // MOST_HOT))
+    if n <= bound:
+        return many.join(one, key)
+    hot = many.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > bound).select(key, F.ceil(F.col("__n") / bound).alias("__parts"))
+    hot = F.broadcast(hot)
+    drawn = F.pmod(F.xxhash64(*[c for c, kind in many.dtypes if "map" not in kind]), F.col("__parts"))
+    many = many.join(hot, key, "left").withColumn("__part", F.coalesce(drawn, F.lit(0).cast("long"))).drop("__parts")
+    one = one.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__parts"), F.lit(1)) - 1))).drop("__parts")
+    return many.join(one, [key, "__part"]).drop("__part")
+
+
 def byte_buffer(column):
     """The bytes of an Arrow binary or string column and the offsets of its values within them (one more than values)."""
     import numpy as np

@@ -18,11 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import discard, documents, fresh, written
+from lodestar.llm.common import MOST_HOT, bounded_batches, dealt_join, discard, documents, fresh, with_copies_placed, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -32,12 +31,10 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 AGREE = len(BLOCKS) - RADIUS
 #: Shingles whose bits are counted at once.
 STEP = 1 << 16
-#: Members from which on a part of a tree gets a node of its own instead of being a plain list.
-LEAF = 12
 #: Members of a shard up to which it is one tree.
 LARGE = 1 << 16
-#: Links of a fingerprint from which on its minimum is broadcast to them, so that they needn't meet in one task.
-HUB = 1 << 20
+#: A fingerprint's links meet in one task up to so many, or a MOST_HOT-th of all; minima of larger hubs are broadcast.
+HUB = 256
 
 
 def shingles(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -67,63 +64,55 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 class BKTree:
-    """Nested children keyed by distance to the parent; small parts stay plain lists. Found members can be removed."""
+    """Children keyed by the integer Hamming distance to their parent. Members found can be taken out; nodes stay as guides."""
 
     def __init__(self, members: list[int]) -> None:
-        self.root = self._node(members)
-
-    def _node(self, members: list[int]):
-        """[parent or None, members left, children by distance or the list itself]"""
-        if len(members) <= LEAF:
-            return [None, len(members), members]
-        parent = members[0]
-        by: dict[int, list[int]] = {}
-        for x in members[1:]:
-            by.setdefault((x ^ parent).bit_count(), []).append(x)
-        return [parent, len(members), {d: self._node(part) for d, part in by.items()}]
+        self.value, self.children, self.up = [], [], []
+        for x in members:
+            self._add(x)
+        self.left = [1] * len(self.value)  # members not taken, in each node's part of the tree
+        self.taken = [False] * len(self.value)
+        for i in range(len(self.value) - 1, 0, -1):
+            self.left[self.up[i]] += self.left[i]
+
+    def _add(self, x: int) -> None:
+        at, new = -1, len(self.value)
+        if new:
+            at = 0
+            while (child := self.children[at].get(d := (x ^ self.value[at]).bit_count())) is not None:
+                at = child
+            self.children[at][d] = new
+        self.value.append(x)
+        self.children.append({})
+        self.up.append(at)
 
     def take(self, x: int, radius: int) -> list[int]:
-        """Remove and return the members within the radius of x."""
-        out: list[int] = []
-        stack = [(self.root, None, 0)]
-        path: list[list] = []
+        """Remove and return the members within the radius of x, along the edges whose distances allow any."""
+        out, stack = [], [0]
         while stack:
-            node, up, _ = stack.pop()
-            if not node[1]:
+            at = stack.pop()
+            if not self.left[at]:
                 continue
-            path.append([node, up])
-            if isinstance(node[2], list):
-                near = [y for y in node[2] if (x ^ y).bit_count() <= radius]
-                if near:
-                    out += near
-                    node[2] = [y for y in node[2] if (x ^ y).bit_count() > radius]
-                continue
-            d = (x ^ node[0]).bit_count()
-            if d <= radius and len(node) == 3:
-                out.append(node[0])
-                node.append(True)  # the parent has been taken, it goes on guiding walks
-            for e in range(max(0, d - radius), d + radius + 1):
-                child = node[2].get(e)
-                if child is not None and child[1]:
-                    stack.append((child, node, e))
-        for node, _ in reversed(path):
-            node[1] = len(node[2]) if isinstance(node[2], list) else sum(c[1] for c in node[2].values()) + (len(node) == 3)
+            d = (x ^ self.value[at]).bit_count()
+            if d <= radius and not self.taken[at]:
+                self.taken[at] = True
+                out.append(self.value[at])
+                up = at
+                while up >= 0:
+                    self.left[up] -= 1
+                    up = self.up[up]
+            stack += [child for e, child in self.children[at].items() if abs(e - d) <= radius]
         return out
 
 
 def forest(members: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links among distinct members: (other, first of its tree)."""
-    if len(members) == 2:
-        if (members[0] ^ members[1]).bit_count() <= radius:
-            yield members[1], members[0]
-        return
     tree = BKTree(members)
     seen: set[int] = set()
     for x in members:
         if x in seen:
             continue
-        near = tree.take(x, radius)
-        grown = [y for y in near if y != x]
+        grown = [y for y in tree.take(x, radius) if y != x]
         while grown:
             y = grown.pop()
             seen.add(y)
@@ -131,6 +120,10 @@ def forest(members: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]
             grown += tree.take(y, radius)
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
 def _fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -140,7 +133,8 @@ def _fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Da
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps.view(np.int64)), b.column("h")], ["id", "fp", "h"])
 
     text = F.col(f"`{text_col}`").cast("string")
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), text_hash(text_col).alias("h"), text.alias("text"))
+    bounded_batches(df.sparkSession)
     return rows.mapInArrow(run, f"id {kind}, fp long, h long")
 
 
@@ -196,7 +190,8 @@ def components(links: DataFrame, hub: int = HUB) -> tuple[DataFrame, str]:
     """The least member of each linked value's component (u, root), by alternating large and small stars.
 
     Minima are aggregated before they are shuffled and joined back, so that a hub's neighbours never meet in one list.
-    Those of values with more than ``hub`` links are broadcast: of n links 2n / ``hub`` such values at most.
+    Those of values with more links than ``hub``, or than a MOST_HOT-th of all if that is more, are broadcast: MOST_HOT
+    values at most, whatever the table.
     """
     spark = links.sparkSession
     edges, path = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
@@ -204,9 +199,10 @@ def components(links: DataFrame, hub: int = HUB) -> tuple[DataFrame, str]:
     def starred(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.union(e.select("v", "u").toDF("u", "v")) if large else e
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        if n > hub:
-            told = both.join(F.broadcast(least.filter(F.col("n") > hub)), "u", "left")
-            joined = told.filter("m is null").select("u", "v").join(least.filter(F.col("n") <= hub), "u").unionByName(told.filter("m is not null"))
+        most = max(hub, -(-n // MOST_HOT))
+        if n > most:
+            told = both.join(F.broadcast(least.filter(F.col("n") > most)), "u", "left")
+            joined = told.filter("m is null").select("u", "v").join(least.filter(F.col("n") <= most), "u").unionByName(told.filter("m is not null"))
         else:
             joined = both.join(least, "u")
         if large:
@@ -240,25 +236,22 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lowest = at.groupBy("root").agg(F.min("low").alias("component_id"))
     at, _ = written(at.join(lowest, "root").select("fp", "root", "component_id"), "fingerprint-groups")
     discard(df.sparkSession, fps_path, roots_path)
-    return prints.join(at, "fp")
+    return dealt_join(prints, at, "fp")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """``df`` with one row of each group: the one with the smallest id (ties and groups without ids: by the text's hash).
 
+    Null, empty and blank texts are one group; of repeated rows one stays; an empty table stays empty; other columns are
+    kept, whatever their names; long texts count whole. Texts move once.
+
     ``groups`` are those of :func:`simhash_groups` unless others of the same shape are given (``near_copies.similar_groups``).
     """
-    first = W.partitionBy("root").orderBy("h")
     groups = simhash_groups(df, id_col, text_col) if groups is None else groups
-    # the window sees rows with the group's smallest id only, not the group
-    stays = groups.filter(F.col("id").eqNullSafe(F.col("component_id")))
-    stays = stays.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("id", "h")
-    ident, key, nth, other_id, other_key = fresh(df, "__id", "__h", "__nth", "__other_id", "__other_h")
-    stays = stays.toDF(other_id, other_key)
-    keyed = df.withColumns({ident: F.col(f"`{id_col}`"), key: F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))})
-    both = keyed.join(stays, F.col(ident).eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key)))
-    both = both.withColumn(nth, F.row_number().over(W.partitionBy(ident, key).orderBy(F.lit(0)))).filter(F.col(nth) == 1)
-    return both.select(*[F.col(f"`{c}`") for c in df.columns])
+    stays = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("id").alias("id"), F.min("h").alias("h"))
+    [one] = fresh(df, "__one")
+    kept = with_copies_placed(df, stays.withColumn("one", F.lit(1)), id_col, text_hash(text_col), {"one": one})
+    return kept.filter(F.col(one) == 1).drop(one)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
 from fractions import Fraction
 from itertools import islice
 
@@ -26,87 +24,14 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import documents, fresh, row_key, spread_rank, with_copies_placed, written
 from lodestar.llm.op7_shard import keyed
 
-#: Parts a period is dealt in by :func:`plan`, whose weights are exact to one part; :func:`schedule` has no period.
-PERIOD = 1000
-MAX_SOURCES = 1000
+#: Sources whose counts the driver and the planning task hold: some 20 MB.
+MAX_SOURCES = 100_000
+#: Rows that a file of a mixed table holds at most, about, and files.
+FILE_ROWS, MAX_FILES = 100_000, 1_000_000
 #: Blocks that the planning task passes on at once.
 BATCH = 1 << 14
 
 
-def parts_of(weights: list[float], period: int) -> list[int]:
-    """Whole parts of the period, one at least for each, by largest remainder."""
-    period = max(period, len(weights))
-    spare = period - len(weights)
-    whole = sum(weights)
-    exact = [1 + spare * w / whole for w in weights] if spare < len(weights) else [max(1.0, period * w / whole) for w in weights]
-    parts = [max(1, math.floor(x)) for x in exact]
-    by_rest = sorted(range(len(parts)), key=lambda i: (parts[i] - exact[i], i))
-    k = 0
-    while sum(parts) < period:
-        parts[by_rest[k % len(parts)]] += 1
-        k += 1
-    while sum(parts) > period:
-        i = max(range(len(parts)), key=lambda i: (parts[i] > 1, parts[i] - exact[i], parts[i]))
-        parts[i] -= 1
-    return parts
-
-
-def one_period(parts: list[int]) -> list[list[int]]:
-    """Earliest deadline first over one period: for each source the slots of its blocks."""
-    period = sum(parts)
-    waiting = [(0, i) for i in range(len(parts))]  # release of the next block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int]] = []
-    slots: list[list[int]] = [[] for _ in parts]
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * period // parts[i]), i))
-        deadline, i = heapq.heappop(ready)
-        assert t < deadline
-        slots[i].append(t)
-        if len(slots[i]) < parts[i]:
-            heapq.heappush(waiting, (len(slots[i]) * period // parts[i], i))
-    return slots
-
-
-@dataclass
-class Phase:
-    """From slot ``start`` on, blocks ``begin`` to ``end`` of one source, ``parts`` in each ``period``."""
-
-    start: int
-    begin: int
-    end: int
-    parts: int
-    period: int
-    slots: list[int]
-
-
-def plan(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[list[Phase]]:
-    """The phases of each source; together they fill every slot from 0 to the number of blocks once."""
-    done = [0] * len(blocks)
-    phases: list[list[Phase]] = [[] for _ in blocks]
-    start = 0
-    while active := [i for i, n in enumerate(blocks) if done[i] < n]:
-        parts = parts_of([weights[i] for i in active], period if len(active) > 1 else 1)
-        slots, whole = one_period(parts), sum(parts)
-        # the phase lasts until the first source has placed its last block
-        last = [(blocks[i] - done[i] - 1) // p * whole + s[(blocks[i] - done[i] - 1) % p] for i, p, s in zip(active, parts, slots, strict=True)]
-        length = min(last) + 1
-        for i, p, s in zip(active, parts, slots, strict=True):
-            taken = length // whole * p + bisect_left(s, length % whole)
-            if taken:
-                phases[i].append(Phase(start, done[i], done[i] + taken, p, whole, s))
-            done[i] += taken
-        start += length
-    return phases
-
-
-def slot_of(phases: list[Phase], block: int) -> int:
-    p = next(p for p in phases if p.begin <= block < p.end)
-    return p.start + (block - p.begin) // p.parts * p.period + p.slots[(block - p.begin) % p.parts]
-
-
 def schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(source, block, phase, release, deadline, slot) of each block, in slot order, by the exact ratio of the weights.
 
@@ -173,9 +98,10 @@ def mix(
     """One row per input row: id, source, h, block, phase, release, deadline, slot, mix_pos (gapless from 0).
 
     ``weights`` gives each source's target; without it a source weighs its rows to ``power``. Sources that ``weights``
-    doesn't name, or gives 0, follow when all others have run out. A null source is a source of its own; null texts and
-    ids and repeated rows are placed like any other; an empty table gives an empty result; other columns are ignored.
-    The driver holds one number a source, for MAX_SOURCES sources at most: with more it raises ValueError.
+    doesn't name, or gives 0, follow when all others have run out. Equal deadlines are settled by the sources' names. A
+    null source is a source of its own; null texts and ids and repeated rows are placed like any other, a row counts as
+    one however long its text; an empty table gives an empty result; other columns are ignored. The driver holds one
+    number a source, for MAX_SOURCES sources at most: with more it raises ValueError.
     """
     narrow = keyed(df, id_col, text_col, source_col, seed)
     ranked, _ = spread_rank(narrow, ["no_source", "src"], ["h", "id", "crc", "bytes"], "rank", "of", "mix-ranks")
@@ -193,11 +119,18 @@ def mix(
 
 
 def mix_documents(df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
-    """``df`` in mixed order: written as files, the rows follow the schedule from the first file to the last."""
+    """``df`` in mixed order: written as files, the rows follow the schedule from the first file to the last.
+
+    Rows are those of ``df``, null ids and texts, ties and repeated rows included; an empty table stays empty. Texts move
+    twice: to their places, then to their files.
+    """
     [pos] = fresh(df, "__pos")
-    places = mix(df, seed=seed, id_col=id_col, text_col=text_col, **kwargs)
+    places, _ = written(mix(df, seed=seed, id_col=id_col, text_col=text_col, **kwargs).select("id", "h", "mix_pos"), "mix-places")
+    n = places.count()
+    parts = max(1, min(-(-n // FILE_ROWS), MAX_FILES), min(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     full = with_copies_placed(df, places, id_col, row_key(id_col, text_col, seed), {"mix_pos": pos})
-    return full.repartitionByRange(pos).sortWithinPartitions(pos).drop(pos)
+    # positions are gapless, so that a row's file follows from its own: nothing is sampled, the join runs once
+    return full.repartitionById(parts, F.expr(f"cast(`{pos}` * {parts}L div {max(1, n)}L as int)")).sortWithinPartitions(pos).drop(pos)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

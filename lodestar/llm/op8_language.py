@@ -14,10 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import byte_buffer, documents, fresh
+from lodestar.llm.common import bounded_batches, byte_buffer, documents, fresh
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -25,8 +27,8 @@ FILTERS = 16
 EMBED = 8
 #: Windows of each language that training takes, from any number of rows.
 TRAIN_WINDOWS = 1500
-#: Languages that training tells apart; the most frequent ones, if there are more.
-MAX_LANGUAGES = 200
+#: Languages that training can tell apart, so that its sample stays bounded; more are an error.
+MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 BATCH = 512
 
@@ -159,23 +161,27 @@ class Predictor:
 
 
 def fit(df: DataFrame, label_col: str = "lang", text_col: str = "text", train_windows: int = TRAIN_WINDOWS, seed: int = 8) -> Network | None:
-    """Train on the rows of ``df`` with a label; None without any.
+    """Train on the rows of ``df`` with a label, every label that occurs; None without any.
 
-    Bounded: of each of MAX_LANGUAGES languages about ``train_windows`` rows, drawn by hash in proportion, and one
-    window of each, at a place drawn by hash.
+    Bounded: of each language about ``train_windows`` texts, drawn by hash in proportion, and one window of each, at a place
+    drawn by hash; copies count once. ValueError beyond MAX_LANGUAGES labels.
     """
     text, label = F.col(f"`{text_col}`").cast("string"), F.col(f"`{label_col}`").cast("string")
     rows = df.select(text.alias("text"), label.alias("label")).filter("text is not null and label is not null")
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("label").count().limit(MAX_LANGUAGES + 1).collect()
     if not counts:
         return None
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     draw = F.xxhash64(F.lit(seed), "text")
     unit = F.pmod(draw, F.lit(1_000_000)) / F.lit(1_000_000.0)
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.label, min(1.0, train_windows / r["count"]))]), F.col("label"))
     rows = rows.filter(unit < share).withColumn("bytes", F.col("text").cast("binary"))
     begin = F.pmod(F.xxhash64(F.lit(seed + 1), "text"), F.greatest(F.lit(1), F.octet_length("text") - WINDOW + 1)).cast("int")
-    cuts = rows.select("label", F.substring("bytes", begin + 1, F.lit(WINDOW)).alias("bytes"))
-    got = cuts.limit(4 * train_windows * len(counts)).toArrow()  # the draw varies; this holds it in any case
+    cuts = rows.select("label", draw.alias("draw"), F.substring("bytes", begin + 1, F.lit(WINDOW)).alias("bytes")).distinct()
+    # the draw varies little; this holds it in any case, the same way on every run
+    first = F.row_number().over(W.partitionBy("label").orderBy("draw", "bytes"))
+    got = cuts.withColumn("nth", first).filter(F.col("nth") <= 2 * train_windows).select("label", "bytes").toArrow()
     languages = sorted(set(got.column("label").to_pylist()))
     if not languages:
         return None
@@ -189,25 +195,32 @@ def fit(df: DataFrame, label_col: str = "lang", text_col: str = "text", train_wi
 def predict(df: DataFrame, net: Network | None, cols: list[str], text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``cols`` of ``df`` with the predicted language and its mean probability over the whole text.
 
-    ``und`` with score 0 where the text is null, empty or without a letter, and everywhere if nothing could be learned.
+    ``und`` with score 0 where the text is null, empty or without a letter; with score 1 on any other text if nothing could
+    be learned, so that a filter on scores doesn't take it for doubtful. Texts count whole, however long; repeated rows
+    and ties (the first language by name) are predicted each; an empty table gives an empty result; columns of clashing
+    names stay as they are.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    [held] = fresh(df, "__bytes")
-    rows = df.select(*[F.col(f"`{c}`") for c in cols], text.cast("binary").alias(held))
+    [held] = fresh(df, "__text")
+    given = text_col in cols and df.schema[text_col].dataType.typeName() == "string"  # then the text need not travel twice
+    rows = df.select(*[F.col(f"`{c}`") for c in cols], *([] if given else [text.alias(held)]))
     schema = df.select(*[F.col(f"`{c}`") for c in cols]).withColumns({pred: F.lit(""), score: F.lit(0.0)}).schema
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None if net is None else Predictor(net)
         for b in batches:
-            values = b.column(held)
-            known = [v.is_valid and any(map(str.isalpha, v.as_py().decode("utf-8", "replace"))) for v in values] if model else [False] * len(values)
+            values = b.column(cols.index(text_col) if given else held)
+            known = pc.fill_null(pc.match_substring_regex(values, r"\pL"), False).to_numpy(zero_copy_only=False)
             langs, scores = np.full(len(values), UNDETERMINED, object), np.zeros(len(values))
-            if any(known):
+            if model is None:
+                scores[known] = 1
+            elif known.any():
                 p = model.texts(*byte_buffer(values))
                 names = np.array(model.net.languages, object)
                 at = np.flatnonzero(known)
                 langs[at], scores[at] = names[p[at].argmax(axis=1)], np.clip(p[at].max(axis=1), 0, 1)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(langs, pa.string()), pa.array(scores)], [*cols, pred, score])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(cols))], pa.array(langs, pa.string()), pa.array(scores)], [*cols, pred, score])
 
     return rows.mapInArrow(run, schema)
 
@@ -217,11 +230,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(df: DataFrame, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """``df`` without the rows whose language can't be told: no letter in the text, or a score below ``min_score``."""
+    """``df`` without the rows whose language can't be told: no letter in the text, or a score below ``min_score``.
+
+    Without labelled rows nothing can be learned, and only texts without a letter go.
+    """
     net = fit(df.filter(~held_out(id_col)), label_col, text_col)
     pred, score = fresh(df, "__pred", "__score")
     out = predict(df, net, df.columns, text_col, pred, score)
-    return out.filter((F.col(pred) != UNDETERMINED) & (F.col(score) >= min_score)).select(*[F.col(f"`{c}`") for c in df.columns])
+    return out.filter(F.col(score) >= max(min_score, 1e-9)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

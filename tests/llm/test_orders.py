@@ -1,6 +1,5 @@
 """Mixing (1) and sharding (7)."""
 
-import random
 import zlib
 from collections import Counter
 
@@ -10,36 +9,6 @@ from lodestar.llm import op1_mix, op7_shard
 from tests.llm.helpers import awkward, clashing, frame, rows_of
 
 
-def test_schedule_deviates_by_less_than_a_block():
-    rng = random.Random(2)
-    for _ in range(60):
-        weights = [rng.random() + 0.02 for _ in range(rng.randint(1, 7))]
-        parts = op1_mix.parts_of(weights, 60)
-        assert sum(parts) == 60 and min(parts) >= 1
-        slots = op1_mix.one_period(parts)
-        assert sorted(t for s in slots for t in s) == list(range(60))
-        for s, p in zip(slots, parts, strict=True):
-            done = 0
-            for t in range(60):
-                done += t in s
-                assert abs(done - (t + 1) * p / 60) < 1
-            for j, t in enumerate(s):
-                assert j * 60 // p <= t < -(-(j + 1) * 60 // p)
-
-
-def test_plan_fills_every_slot_once():
-    rng = random.Random(3)
-    for _ in range(150):
-        blocks = [rng.randint(0, 40) for _ in range(rng.randint(1, 9))]
-        phases = op1_mix.plan(blocks, [rng.random() + 0.01 for _ in blocks], 50)
-        assert sorted(op1_mix.slot_of(phases[i], j) for i, n in enumerate(blocks) for j in range(n)) == list(range(sum(blocks)))
-
-
-def test_parts_with_many_sources():
-    assert op1_mix.parts_of([1.0] * 30, 10) == [1] * 30
-    assert sum(op1_mix.parts_of([1e9, 1, 1], 10)) == 10
-
-
 @pytest.mark.parametrize("weights", [None, {"s0": 3, "s1": 1}, {None: 1}])
 def test_mix(spark, weights):
     rows = op1_mix.mix(frame(spark), weights, block_rows=2, seed=4).collect()
