@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,16 +13,29 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import checked
 
 
-def _path(field: str) -> str:
-    """The JSON path of a dotted field."""
-    return "$" + "".join(f"['{p}']" for p in field.split("."))
+def _parts(field: str) -> list[str]:
+    """The names of a dotted field; a backslash makes the next dot, or backslash, part of a name."""
+    return [re.sub(r"\\(.)", r"\1", p) for p in re.findall(r"(?:^|\.)((?:\\.|[^.\\])*)", field)]
+
+
+def _at(doc: Column, field: str, kind: str) -> Column:
+    """What stands at a field, as ``kind``. Names may hold any characters: quotes of one sort go into a path, of both into a map."""
+    way = ""
+    for name in _parts(field):
+        if "'" not in name or '"' not in name:
+            quote = '"' if "'" in name else "'"
+            way += f"[{quote}{name}{quote}]"
+        else:
+            within = F.try_variant_get(doc, "$" + way, "map<string,variant>")
+            doc, way = F.try_element_at(within, F.lit(name)), ""
+    return F.try_variant_get(doc, "$" + way, kind)
 
 
 def leaf(doc: Column, field: str) -> Column:
     """The text of a leaf, by dotted path; null where there is none or an object or array stands there."""
-    found = F.variant_get(F.try_parse_json(doc), _path(field), "variant")
-    inner = F.schema_of_variant(found)
-    return F.when(~(inner.startswith("OBJECT") | inner.startswith("ARRAY")), F.try_variant_get(F.try_parse_json(doc), _path(field), "string"))
+    parsed = F.try_parse_json(doc)
+    inner = F.schema_of_variant(_at(parsed, field, "variant"))
+    return F.when(~(inner.startswith("OBJECT") | inner.startswith("ARRAY")), _at(parsed, field, "string"))
 
 
 def filter_field(docs: DataFrame, field: str, value: str, doc: str = "doc") -> DataFrame:
@@ -60,14 +74,16 @@ def flatten(text: str | None, strict: bool = False) -> dict[str, str]:
 
 
 def nest(flat: dict[str, str]) -> dict:
-    """The object of dotted paths; paths of array members stay keys."""
+    """The object of dotted paths; paths of array members stay keys, and so does what follows a path that is a leaf itself.
+
+    ``flatten`` of the object gives the same paths again.
+    """
     out: dict = {}
-    for path, v in flat.items():
-        *way, last = path.split(".")
-        at = out
-        for k in way:
-            at = at.setdefault(k, {})
-        at[last] = v
+    for path, v in sorted(flat.items(), key=lambda x: (x[0].count("."), x[0])):
+        names, at = path.split("."), out
+        while len(names) > 1 and isinstance(at.setdefault(names[0], {}), dict):
+            at = at[names.pop(0)]
+        at[".".join(names)] = v
     return out
 
 

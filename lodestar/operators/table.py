@@ -42,7 +42,14 @@ def limits(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def append(df: DataFrame, new: DataFrame) -> DataFrame:
-    return df.unionByName(new, allowMissingColumns=False)
+    """The rows of both; new ones lie as densely as those that are there."""
+    return df.unionByName(settled(df, new), allowMissingColumns=False)
+
+
+def settled(df: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` in as many partitions as the density of ``df`` asks for; counts both."""
+    parts = parts_for(df.count(), new.count(), df.rdd.getNumPartitions())
+    return new.coalesce(parts) if parts <= new.rdd.getNumPartitions() else new.repartition(parts)
 
 
 def parts_for(rows: int, new_rows: int, parts: int) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as t
 from lodestar.operators import json_docs, literal, records, regex, table
-from lodestar.sources import storage
+from lodestar.sources import datasource, storage
 from lodestar.sources.collections import FlatCollection, JsonCollection, KVCollection, TableCollection
 from lodestar.streaming.search import windowed_count
 
@@ -69,14 +69,10 @@ def flat_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal.count(_docs(spark, sf_dir), "the")
 
 
-@query("""
-SELECT coalesce(sum(len(list_filter(range(1, length(p_name) - 1), lambda i: substr(p_name, i, 3) IN ('ara', 'aaa')))), 0)::BIGINT
-     + (SELECT coalesce(sum(len(list_filter(range(1, length(p_type)), lambda i: substr(p_type, i, 2) = 'LL'))), 0)::BIGINT FROM part) AS n FROM part
-""")
+@query("SELECT sum(len(list_filter(range(1, length(c_name)), lambda i: substr(c_name, i, 2) = '00')))::BIGINT AS n FROM customer")
 def flat_count_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _read(spark, sf_dir, "part")
-    n = sum(t.occurrences(F.col(c), q) for c, q in (("p_name", "ara"), ("p_name", "aaa"), ("p_type", "LL")))
-    return part.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n"))
+    """Runs of zeros, in which occurrences overlap."""
+    return literal.count(_read(spark, sf_dir, "customer"), "00", "c_name")
 
 
 @query(f"""WITH {_PLACED}, hits AS ({_split("the", "strlen", "pos", "placed")}) SELECT pos + "offset" AS "offset" FROM hits""")
@@ -177,10 +173,47 @@ def kv_search_offsets_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return KVCollection(binary).search_offsets("the")
 
 
-@query("SELECT o_orderkey AS key, o_orderpriority AS value FROM orders WHERE o_orderkey = 7")
+def _one(spark: SparkSession, schema: str, *values: object) -> DataFrame:
+    """One row of what point lookups gave."""
+    return spark.createDataFrame([values], schema)
+
+
+def _priorities(spark: SparkSession, sf_dir: str) -> KVCollection:
+    return KVCollection(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("value")))
+
+
+@query("SELECT o_orderpriority AS value, substr(o_orderpriority, 3, 4) AS part, NULL::VARCHAR AS missing FROM orders WHERE o_orderkey = 7")
 def kv_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("value"))
-    return orders.filter(F.col("key") == 7)
+    """A key's value, a part of it, and a key that isn't there."""
+    kv = _priorities(spark, sf_dir)
+    return _one(spark, "value string, part string, missing string", kv.get(7), kv.extract(7, 2, 4), kv.get(-1))
+
+
+@query("SELECT doc_id AS key, encode(text) AS value FROM documents WHERE text IS NOT NULL")
+def kv_bytes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary values, saved and loaded."""
+    path = storage.scratch(spark, "kv-bytes")
+    KVCollection(_docs(spark, sf_dir).filter("value IS NOT NULL").withColumn("value", F.col("value").cast("binary"))).save(path)
+    return KVCollection.load(spark, path).df
+
+
+@query(f"""WITH {_PLACED}, whole AS (SELECT c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer)
+SELECT (SELECT substr(string_agg(c_name || chr(10), '' ORDER BY id), 1001, 1) FROM whole) AS at_1000,
+       (SELECT c_name FROM whole WHERE id = 5) AS record, (SELECT substr(c_name, 4, 8) FROM whole WHERE id = 5) AS part""")
+def flat_point_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A character by global offset, a record by id, and a part of that record."""
+    flat = FlatCollection.build(_read(spark, sf_dir, "customer"), "c_name", "c_custkey")
+    return _one(spark, "at_1000 string, record string, part string", flat.char_at(1000), flat.get_record(5), flat.extract_record(5, 3, 8))
+
+
+@query(f"WITH {_PLACED} SELECT record_id FROM placed WHERE contains(text, 'tion')")
+def flat_record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(spark, sf_dir).record_ids("tion")
+
+
+@query(f"WITH {_PLACED} SELECT record_id FROM placed WHERE regexp_matches(text, '(th|wh)(en|at)[ ,]')")
+def flat_record_ids_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(spark, sf_dir).record_ids_regex("(th|wh)(en|at)[ ,]")
 
 
 @query("SELECT o_orderkey AS key, o_orderpriority AS value FROM orders WHERE o_orderkey IN (1, 7, 32, 999999999)")
@@ -253,10 +286,29 @@ def regex_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return KVCollection(_docs(spark, sf_dir)).regex_search("(the|and)ing")
 
 
-@query(r"SELECT doc_id AS key FROM documents WHERE regexp_matches(text, 'password(?:.|\n)*AKIA') OR regexp_matches(text, 'secret[0-9]+')")
+@query(r"SELECT doc_id AS key FROM documents WHERE regexp_matches(text, 'the(?:.|\n)*tion')")
 def regex_keys_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = KVCollection(_docs(spark, sf_dir))
-    return docs.regex_search("password.*AKIA").union(docs.regex_search("secret[0-9]+")).distinct()
+    return KVCollection(_docs(spark, sf_dir)).regex_search("the.*tion")
+
+
+@query("""
+SELECT key, i AS "offset", (j + 3 - i)::INT AS length
+FROM (SELECT doc_id AS key, strpos(text, 'the') - 1 AS i, length(text) - strpos(reverse(text), 'dna') - 2 AS j FROM documents WHERE contains(text, 'the') AND contains(text, 'and'))
+WHERE j >= i + 3
+""")
+def regex_wildcard_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wildcard reaches from the first occurrence before it to the last one after it."""
+    return KVCollection(_docs(spark, sf_dir)).regex_match("the.*and")
+
+
+@query("""
+SELECT doc_id AS key, i - 1 AS "offset", length(regexp_extract(substr(text, i), '^[0-9]+'))::INT AS length
+FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE regexp_matches(text, '[0-9]'))
+WHERE regexp_matches(substr(text, i, 1), '[0-9]') AND (i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '[0-9]'))
+""")
+def regex_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest match of each run: what lies within the match before is left out."""
+    return KVCollection(_docs(spark, sf_dir)).regex_match("[0-9]+")
 
 
 @query(f"""
@@ -317,7 +369,7 @@ _table("table_ge", "lineitem", _LINE, [("l_quantity", "ge", 40.0)], "l_quantity
 _table("table_negative", "customer", ["c_custkey", "c_acctbal"], [("c_acctbal", "ge", -500.0), ("c_acctbal", "lt", 0.0)], "c_acctbal >= -500 AND c_acctbal < 0")
 _table("table_startswith", "part", ["p_partkey", "p_type"], [("p_type", "startswith", "STANDARD")], "starts_with(p_type, 'STANDARD')")
 _table("table_endswith", "part", ["p_partkey", "p_type"], [("p_type", "endswith", "L")], "ends_with(p_type, 'L')")
-_table("table_contains", "part", ["p_partkey", "p_name"], [("p_name", "contains", "1")], "contains(p_name, '1')")
+_table("table_contains", "part", ["p_partkey", "p_name"], [("p_name", "contains", "in")], "contains(p_name, 'in')")
 _table("table_in", "orders", ["o_orderkey", "o_orderstatus"], [("o_orderstatus", "in", ["F", "P"])], "o_orderstatus IN ('F', 'P')")
 _table("table_between", "lineitem", _LINE, [("l_quantity", "between", (10.0, 20.0))], "l_quantity BETWEEN 10 AND 20")
 _table("table_null_safe", "orders", ["o_orderkey"], [("o_orderpriority", "eqnullsafe", "1-URGENT")], "o_orderpriority IS NOT DISTINCT FROM '1-URGENT'")
@@ -420,9 +472,28 @@ def json_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JsonCollection.build(_events(spark, sf_dir), "doc", "id").df
 
 
-@query("SELECT 'OBJECT<k: BIGINT>' AS schema")
+@query("SELECT 'OBJECT<k: DECIMAL(21,1), name: STRING>' AS schema")
 def json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_docs.widened_schema(_events(spark, sf_dir))
+    """Whole numbers and fractions of one field widen to a decimal; a field of some documents joins the others."""
+    nations = _read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit('{"k":'), F.col("n_nationkey"), F.lit('.5,"name":"x"}')).alias("doc"))
+    whole = _read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit('{"k":'), F.col("n_nationkey"), F.lit("}")).alias("doc"))
+    return json_docs.widened_schema(nations.union(whole))
+
+
+@query("SELECT event_id AS id, props AS doc FROM events")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as saved and loaded."""
+    path = storage.scratch(spark, "json")
+    JsonCollection(_events(spark, sf_dir)).save(path)
+    return JsonCollection.load(spark, path).df
+
+
+@query("SELECT n_nationkey AS id FROM nation WHERE n_nationkey % 2 = 0")
+def json_filter_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field whose name holds a quote and a dot."""
+    half = F.concat(F.lit('{"it\'s.even":"'), (F.col("n_nationkey") % 2 == 0).cast("string"), F.lit('"}'))
+    docs = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), half.alias("doc"))
+    return JsonCollection(docs).filter(r"it's\.even", "true")
 
 
 @query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS id, props AS doc FROM events UNION ALL SELECT (SELECT count(*) FROM events) + row_number() OVER (ORDER BY n_nationkey) - 1, '{\"n\":' || n_nationkey || '}' FROM nation")
@@ -444,12 +515,44 @@ def join_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("n_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer, orders = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders")
+    customer, orders = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders").filter("o_totalprice > 300000")
     return customer.join(orders, customer.c_custkey == orders.o_custkey, "left_anti").select("c_custkey")
 
 
+@query("SELECT l_returnflag, l_linestatus, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.countDistinct("l_orderkey").alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = [["l_returnflag"], ["l_linestatus"], []]
+    return _read(spark, sf_dir, "lineitem").groupingSets(sets, "l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"))
+
+
+@query("""SELECT user_id, min(ts) AS first, count(*) AS n FROM (
+  SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
+    SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events))
+GROUP BY user_id, session""")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user at most two hours apart, by the engine's own session windows."""
+    sessions = _read(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "2 hours"))
+    return sessions.agg(F.min("ts").alias("first"), F.count("*").alias("n")).select("user_id", "first", "n")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 20")
+def source_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written by the named source under each mode, read through ``CREATE TEMPORARY VIEW ... USING``."""
+    path = storage.scratch(spark, "named")
+    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    datasource.save(nation.limit(1), path, "error")
+    datasource.save(nation, path, "overwrite")
+    datasource.save(nation.limit(2), path, "ignore")
+    return datasource.create_view(spark, "lodestar_nation", path).filter("n_nationkey >= 20")
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))

@@ -103,7 +103,7 @@ class FlatCollection(_Collection):
         end = records.total_size(self.df).first()
         new = FlatCollection.build(df, value, key).df
         moved = new.withColumns({"record_id": F.col("record_id") + end["n_records"], "global_offset": F.col("global_offset") + end["n_bytes"]})
-        return FlatCollection(self.df.unionByName(moved))
+        return FlatCollection(table.append(self.df, moved))
 
 
 class KVCollection(_Collection):
@@ -191,7 +191,7 @@ class JsonCollection(_Collection):
 
     def bulk_append(self, df: DataFrame, doc: str = "value", key: str | None = None) -> JsonCollection:
         new = JsonCollection.build(df, doc, key, first_id=self.df.count())
-        return JsonCollection(self.df.unionByName(new.df))
+        return JsonCollection(table.append(self.df, new.df))
 
 
 class TableCollection(_Collection):

@@ -1,7 +1,6 @@
 """A named data source over saved tables: ``spark.read.format("lodestar").load(path)``.
 
-It plans one partition for each row group of the files and hands over Arrow batches with the columns and rows that a
-query asks for. Inside the engine tables are read with ``spark.read.parquet``, which prunes as well and stays in the JVM;
+It plans one partition for each file and hands over Arrow batches with the columns and rows that a query asks for. Inside the engine tables are read with ``spark.read.parquet``, which prunes as well and stays in the JVM;
 this facade is for code that wants a format name. Paths must be readable by pyarrow's file systems.
 """
 
@@ -9,21 +8,24 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
+from lodestar.sources.storage import MODES
+
 
 class _Part(InputPartition):
-    def __init__(self, file: str, group: int) -> None:
-        super().__init__((file, group))
-        self.file, self.group = file, group
+    def __init__(self, file: str) -> None:
+        super().__init__(file)
+        self.file = file
 
 
 def _expression(f: Filter):
@@ -81,30 +83,59 @@ class _Reader(DataSourceReader):
                 self.where = e if self.where is None else self.where & e
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(f.path, g.id) for f in _dataset(self.path).get_fragments() for g in f.row_groups]
+        # from the listing alone: no file is opened on the driver
+        return [_Part(file) for file in _dataset(self.path).files]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        part = ds.ParquetFileFormat().make_fragment(partition.file, filesystem=_store(self.path)[0], row_groups=[partition.group])
+        part = ds.ParquetFileFormat().make_fragment(partition.file, filesystem=_store(self.path)[0])
         yield from part.to_batches(columns=self.schema.names, filter=self.where)
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    file: str | None
+
+
 class _Writer(DataSourceArrowWriter):
+    """Tasks write to a staging folder of this job; ``commit`` moves the files of the attempts that Spark committed, then
+    removes those of the table before. A failed job leaves the old table as it was."""
+
     def __init__(self, path: str) -> None:
-        self.path = path
+        self.path, self.staging = path, f"_staging-{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, at = _store(self.path)
-        out = None
-        for b in batches:
-            out = out or pq.ParquetWriter(f"{at}/part-{uuid.uuid4().hex}.parquet", b.schema, filesystem=store)
-            out.write_batch(b)
-        if out:
-            out.close()
-        return WriterCommitMessage()
+        out, file = None, f"part-{uuid.uuid4().hex}.parquet"
+        try:
+            for b in batches:
+                if out is None:
+                    store.create_dir(f"{at}/{self.staging}", recursive=True)
+                    out = pq.ParquetWriter(f"{at}/{self.staging}/{file}", b.schema, filesystem=store)
+                out.write_batch(b)
+        finally:
+            if out:
+                out.close()
+        return _Written(file if out else None)
+
+    def _drop_staging(self) -> None:
+        store, at = _store(self.path)
+        if store.get_file_info(f"{at}/{self.staging}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{at}/{self.staging}")
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, at = _store(self.path)
+        store.create_dir(at, recursive=True)
+        before = [f.path for f in store.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.File]
+        for m in messages:
+            if m is not None and m.file:
+                store.move(f"{at}/{self.staging}/{m.file}", f"{at}/{m.file}")
+        for file in before:
+            store.delete_file(file)
         store.open_output_stream(f"{at}/_SUCCESS").close()
+        self._drop_staging()
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._drop_staging()
 
 
 class LodestarSource(DataSource):
@@ -125,16 +156,42 @@ class LodestarSource(DataSource):
         return _Reader(self.path, schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        store, at = _store(self.path)
-        there = store.get_file_info(at).type != fs.FileType.NotFound and store.get_file_info(fs.FileSelector(at))
-        if there and not overwrite:
+        if not overwrite and _exists(self.path):
             raise ValueError("append isn't supported: the table exists")
-        if there:
-            store.delete_dir_contents(at)
-        store.create_dir(at, recursive=True)
         return _Writer(self.path)
 
 
+def _exists(path: str) -> bool:
+    store, at = _store(path)
+    return store.get_file_info(at).type == fs.FileType.Directory and any(f.is_file for f in store.get_file_info(fs.FileSelector(at)))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LodestarSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def save(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Write a table through the named source with any mode but ``append``: ``error``, ``errorifexists``, ``ignore``, ``overwrite``.
+
+    Spark itself passes only overwrite and append on to a source of this kind, so the other two are settled here, before
+    the job: FileExistsError if the table is there under ``error``, nothing written under ``ignore``.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} isn't supported; use one of {', '.join(MODES)}")
+    if "://" not in path and not df.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster the path must name its file system, as in hdfs://")
+    register(df.sparkSession)
+    if mode != "overwrite" and _exists(path):
+        if mode == "ignore":
+            return
+        raise FileExistsError(path)
+    df.write.format(LodestarSource.name()).mode("overwrite").save(path)
+
+
+def create_view(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A temporary view over a saved table, by the SQL that a user would write."""
+    register(spark)
+    quoted = path.replace("'", "\\'")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{name}` USING lodestar OPTIONS (path '{quoted}')")
+    return spark.table(name)
