@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import ascii_lower, documents, written
+from lodestar.llm.common import ascii_lower, bounded_batches, documents, written
 
 LEAD = 16
 #: Characters of text that Python compares at once.
@@ -59,7 +59,7 @@ class _Runs:
         rep = lambda v, kind: pa.repeat(pa.scalar(v, kind), n)
         lo, hi = (known[0], known[-1]) if len(known) else (None, None)
         kind = ids.type
-        head = pa.array([self.text if edge is not None else None], pa.string())
+        head = pa.array([len(self.text) if edge is not None else None], pa.int64())
         out = [
             ids,
             rep(self.sha, pa.string()),
@@ -68,7 +68,7 @@ class _Runs:
             rep(n, pa.int64()),
             last_of_id,
             rep(edge, pa.int32()),
-            pa.concat_arrays([head, pa.nulls(n - 1, pa.string())]),
+            pa.concat_arrays([head, pa.nulls(n - 1, pa.int64())]),
         ]
         self.ids, self.first = [], False
         return pa.RecordBatch.from_arrays(out, schema=self.schema)
@@ -110,7 +110,7 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = T.StructType([
         T.StructField("id", id_type), T.StructField("sha", T.StringType()), T.StructField("lo", id_type),
         T.StructField("hi", id_type), T.StructField("n", T.LongType()), T.StructField("last_of_id", T.BooleanType()),
-        T.StructField("edge", T.IntegerType()), T.StructField("head", T.StringType()),
+        T.StructField("edge", T.IntegerType()), T.StructField("head", T.LongType()),
     ])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,14 +118,16 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for whole in batches:
             for batch in _slices(whole, "norm"):
                 if cut is None:
-                    kinds = {"id": batch.schema.field("id").type, "sha": pa.string(), "lo": batch.schema.field("id").type, "hi": batch.schema.field("id").type, "n": pa.int64(), "last_of_id": pa.bool_(), "edge": pa.int32(), "head": pa.string()}
+                    kinds = {"id": batch.schema.field("id").type, "sha": pa.string(), "lo": batch.schema.field("id").type, "hi": batch.schema.field("id").type, "n": pa.int64(), "last_of_id": pa.bool_(), "edge": pa.int32(), "head": pa.int64()}
                     cut = _Runs(pa.schema(list(kinds.items())))
                 yield from cut.feed(batch)
         if cut is not None:
             yield cut.close(True)
 
+    bounded_batches(df.sparkSession)
     cut = rows.mapInArrow(runs, out).withColumn("part", F.spark_partition_id())
     cut, _ = written(cut, "dedup-runs")
+    # of a text at a partition's edge only digest and length go on: no task gathers the texts of a hot group's edges
     same = W.partitionBy("sha", "head")
     edges = cut.filter(F.col("head").isNotNull()).select(
         F.col("part"), F.col("edge"), F.min("lo").over(same).alias("all_lo"), F.max("hi").over(same).alias("all_hi"), F.sum("n").over(same).alias("all_n"),

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestar.llm import words
-from lodestar.llm.common import documents, fresh
+from lodestar.llm.common import bounded_batches, documents, fresh, written
 
 MIN_TILE = 5
 COVERAGE = 0.5
@@ -132,13 +132,14 @@ class Tiler:
             yield int(item[cuts[k]]), list(zip(np.repeat(at, n).tolist(), pos_of[j].tolist(), strict=True))
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[bool, list[tuple[object, str]]]]:
+    """Blocks of the benchmark, one at a time, and if there is no other after it."""
     rows = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield sorted(((r.item, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1]))
+        yield k == n - 1, sorted(((r.item, r.text) for r in part.collect()), key=lambda x: (x[0] is not None, x[0] if x[0] is not None else 0, x[1]) if x[0] is not None else (False, 0, x[1]))
 
 
 def leaks(
@@ -154,7 +155,8 @@ def leaks(
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    bounded_batches(df.sparkSession)
+    for last, block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -167,14 +169,22 @@ def leaks(
                     yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(t)), item_ids, pa.array(share), pa.array(n, pa.int32()), pa.array(longest, pa.int32())], ["id", "item", "coverage", "n_tiles", "longest"])
 
         found = rows.mapInArrow(run, f"id {ids}, item {items}, coverage double, n_tiles int, longest int")
+        if not last:  # the next block takes this one's place on the driver and the executors
+            found, _ = written(found, "leaks")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = MIN_TILE, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``df`` without the rows into which an item leaked; rows stay where they are."""
+    """``df`` without the rows into which an item leaked; rows stay where they are.
+
+    Null, empty and short texts stay; repeated rows go together; an empty benchmark or table changes nothing; columns of any
+    names are kept; long texts are held whole against each item.
+    """
     cols, [held] = df.columns, fresh(df, "__words")
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    bounded_batches(df.sparkSession)
+    for last, block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -185,6 +195,9 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
                 yield b.filter(pa.array(stays)).select(cols)
 
         df = df.withColumn(held, F.col(f"`{text_col}`").cast("string")).mapInArrow(run, df.schema)
+        if not last:
+            df, _ = written(df, "without-leaks")
+            shared.destroy()
     return df
 
 

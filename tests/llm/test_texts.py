@@ -50,6 +50,46 @@ def test_license_edges(spark):
     assert op3_license.license_scan(clashing(frame(spark))).count() == len(awkward())
 
 
+def test_license_recall_by_family_with_wrapped_statements():
+    """Statements that training doesn't make, wrapped anywhere, amid words of their own."""
+    rng = random.Random(7)
+    model = op3_license.Scanner(op3_license.fit([" ".join(f"w{rng.randrange(900)}" for _ in range(70)) for _ in range(300)]))
+    frames = ["You may use these pages under the {} if you like", "Everything here is offered under the {} since last year", "All sources are made available under the {}"]
+    for family, names in op3_license.NAMES.items():
+        texts = []
+        for k in range(20):
+            said = frames[k % 3].format(names[k % len(names)].title()).split()
+            said.insert(rng.randrange(1, len(said)), "\n")
+            noise = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(25)))
+            texts.append(f"{noise()}\n\n{noise()} {' '.join(said)} {noise()}\n\n{noise()}")
+        found = {t for t, _, f, _, _ in model(texts) if f == family}
+        assert len(found) >= 18, (family, [t for i, t in enumerate(texts) if i not in found])
+
+
+@pytest.mark.parametrize(
+    ("text", "family"),
+    [
+        ("Licensed under the Apache License,\nVersion 2.0 (the License);", "apache"), ("Licensed under the\nApache License", "apache"), ("SPDX-License-Identifier: Apache-2.0", "apache"),
+        ("Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software", "mit"), ("under the terms of the GNU General\nPublic License as published", "gpl"),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl"), ("subject to the terms of the CDDL 1.0", "cddl"), ("This is released under the WTFPL", "wtfpl"),
+        ("This text is not released under the MIT license", None), ("It isn't licensed under the\nGNU General Public License", None),
+    ],
+)
+def test_license_wrapped_tagged_and_denied(scanner, text, family):
+    found = {f for _, _, f, _, _ in scanner([text])}
+    assert found == ({family} if family else set())
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    return op3_license.Scanner(op3_license.fit(["the boat was old and the sea was calm " * 5, "a man walked home through the rain and sang " * 5]))
+
+
+def test_license_ties_go_by_name():
+    assert op3_license.summary([("mit", 0.5), ("apache", 0.5), ("unknown", 0.9)]) == ("apache", 0.5, "apache,mit", 3, 1)
+    assert op3_license.summary([("unknown", 0.9)]) == ("unknown", 0.9, "", 1, 1) and op3_license.summary([]) == (None, None, "", 0, 0)
+
+
 def test_license_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r.families.split(",") for r in op3_license.license_scan(docs).collect()}
