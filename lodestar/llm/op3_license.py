@@ -1,7 +1,7 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are separated by blank lines, so that a statement may wrap; they are looked at in overlapping windows. A sparse
-logistic regression over hashed word unigrams and bigrams names a licence family, ``unknown`` (terms of use of no known
+Paragraphs are separated by blank lines, so that a statement may wrap; they are looked at in overlapping windows, and line by line. A
+sparse logistic regression over hashed word unigrams and bigrams names a licence family, ``unknown`` (terms of use of no known
 family) or nothing. It learns from PARAGRAPHS (what the licences themselves say), from statements that a small grammar
 makes of their names, from other terms, and from text of the corpus; its probabilities are calibrated on statements held out
 from training. A named family counts only if one of its TEMPLATES, a list apart from what it learned from, is in the
@@ -109,7 +109,7 @@ SAMPLE, PIECE = 1500, 400
 #: Statements of each family that training makes.
 EACH = 90
 #: Least calibrated probability of any terms: of a family that a template confirms, and of unknown ones.
-LIKELY, CONFIDENT = 0.02, 0.5
+LIKELY, CONFIDENT = 0.1, 0.5
 #: Characters that are looked at together, and that parts of one line share: a window's worth of words.
 LONG, OVERLAP = 1 << 19, 300
 #: Different pairs of any terms that unknown ones need; words between a negation and what it denies.
@@ -186,7 +186,7 @@ def _windows(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _vectors(texts: list[str]) -> Iterator[np.ndarray]:
     for t in texts:
-        for h, _, line, _, _ in words.blocks([t], paragraphs=True):
+        for h, _, (line, _), _, _ in words.blocks([t], paragraphs=True):
             uni, pair, inside = _features(h, line)
             for b, e in zip(*(x.tolist() for x in _windows(line)), strict=True):
                 yield np.r_[uni[b:e], pair[b:e][inside[b:e] & (np.arange(b, e) < e - 1)]]
@@ -306,14 +306,15 @@ class Scanner:
             yield parts[p][0], line, family, chance, share
 
     def _scan(self, texts: list[str]) -> Iterator[tuple[int, int, str, float, float]]:
-        for h, of, line, _, _ in words.blocks(texts, paragraphs=True):
+        for h, of, (line, own_line), _, _ in words.blocks(texts, paragraphs=True):
             if not len(h):
                 continue
             uni, pair, inside = _features(h, line)
             pairs = np.where(inside[:, None], self.weight[pair], 0)
             sums = np.zeros((len(h) + 1, len(self.model.classes)))
             np.cumsum(self.weight[uni] + pairs, axis=0, out=sums[1:], dtype=np.float64)
-            begin, end = _windows(line)
+            # over paragraphs, for statements that wrap, and over lines, for those that stand alone
+            begin, end = np.unique(np.concatenate([np.stack(_windows(line)), np.stack(_windows(own_line))], axis=1), axis=1)
             n_pairs = np.r_[0, np.cumsum(inside)]
             inner = end - 1  # the pair that a window's last word begins lies outside
             size = (end - begin) + n_pairs[inner] - n_pairs[begin]

@@ -57,18 +57,18 @@ def _hashes(data: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
     return mixed((sums[ends - 1] - before) * inverse[starts] + (ends - starts).astype(np.uint64)), starts + offset
 
 
-def _paragraphs(data: np.ndarray) -> np.ndarray:
-    """The number of each byte's paragraph."""
+def _lines(data: np.ndarray) -> np.ndarray:
+    """The numbers of each byte's paragraph and line."""
     ends = data == 0
     breaks = np.flatnonzero((data == 10) | ends)
     ink = np.cumsum(~np.isin(data, (9, 10, 11, 12, 13, 32)))
     blank = breaks[1:][ink[breaks[1:]] - ends[breaks[1:]] == ink[breaks[:-1]]]
     ends[blank] = True
-    return np.cumsum(ends)
+    return np.stack([np.cumsum(ends), np.cumsum((data == 10) | (data == 0))])
 
 
 def blocks(texts: list[str | None], paragraphs: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
-    """(hash, text number, paragraph number or empty, first text, end) for the words of a few texts at a time.
+    """(hash, text number, paragraph and line numbers or empty, first text, end) for the words of a few texts at a time.
 
     Words are runs of letters and digits of the lower-cased text; every byte beyond ASCII counts as a letter.
     Paragraphs end at blank lines: single newlines only wrap them.
@@ -85,7 +85,7 @@ def blocks(texts: list[str | None], paragraphs: bool = False) -> Iterator[tuple[
         found = [_hashes(data[x:y], x) for x, y in _cuts(data)]
         hashes, starts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         of = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), starts, side="right") + at
-        yield hashes, of, _paragraphs(data)[starts] if paragraphs else np.zeros(0, np.int64), at, to
+        yield hashes, of, _lines(data)[:, starts] if paragraphs else np.zeros((2, 0), np.int64), at, to
         at = to
 
 
