@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from lodestar.llm import op6_decontaminate, op7_shard, op8_language, op10_simhash
+from lodestar.llm import near_copies, op6_decontaminate, op7_shard, op8_language
 from tests.llm.helpers import awkward, frame, rows_of
 
 
@@ -27,7 +27,7 @@ def test_stages_take_effect_one_after_the_other(spark, tmp_path):
         if name == "language":
             assert {r.text for r in before.subtract(docs).collect()} == {r[1] for r in awkward() if not any(map(str.isalpha, r[1] or ""))}
         if name == "near_duplicates":
-            groups = op10_simhash.simhash_groups(before).select("root").distinct().count()
+            groups = near_copies.similar_groups(before).select("root").distinct().count()
             assert docs.count() == groups and docs.subtract(before).count() == 0
         if name == "benchmark":
             bench = spark.read.parquet(f"{sf}/benchmark.parquet")
