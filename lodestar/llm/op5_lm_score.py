@@ -12,9 +12,7 @@ only if its first and its last n - 1 words do, so higher orders send only those
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 import uuid
 from collections.abc import Callable
 
@@ -24,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import words
-from lodestar.llm.common import discard, documents, scratch_root, written
+from lodestar.llm.common import discard, documents, scratch_root, shuffles_end_with_writes, written
 
 ORDER = 3
 BACKOFF = 0.4
@@ -105,14 +103,6 @@ class Block:
         return np.bincount(self.of, (reach - best) * math.log(backoff) + logs, minlength=len(self.n))
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets the cluster drop shuffle files of tables that are written: the driver's JVM otherwise keeps them until it collects."""
-    for _ in range(2):  # what the first collection lets go of, the second one's cleaner sees
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def _totals(sent: DataFrame) -> DataFrame:
     """Each bucket's totals, for every block that sent to it."""
 
@@ -169,10 +159,9 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_co
     name = f"lodestar_blocks_{uuid.uuid4().hex}"
     path = f"{scratch_root(spark)}/lodestar-{spark.sparkContext.applicationId}/{name}"
     n = min(100_000, parts)
-    rows.repartition(n, "block").write.option("path", path).option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
+    with shuffles_end_with_writes(spark):
+        rows.repartition(n, "block").write.option("path", path).option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
     texts = spark.table(name)
-    del rows
-    _release(spark)
 
     def ask(table: pa.Table, answers: pa.Table | None, orders: int) -> pa.Table:
         block = Block(table.column("text").to_pylist())
@@ -202,15 +191,14 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_co
             sent = blocks.applyInArrow(first, sent_schema)
         else:
             sent = blocks.cogroup(answers.groupBy("block")).applyInArrow(asking(k - 1), sent_schema)
-        if k == 1:
-            sent, sent_path = written(sent, "unigrams")
-            made.append(sent_path)
-            all_words = sent.agg(F.sum("n")).first()[0] or 0
-        back, back_path = written(_totals(sent).withColumn("order", F.lit(k)), f"totals-{k}")
+        with shuffles_end_with_writes(spark):
+            if k == 1:
+                sent, sent_path = written(sent, "unigrams")
+                made.append(sent_path)
+                all_words = sent.agg(F.sum("n")).first()[0] or 0
+            back, back_path = written(_totals(sent).withColumn("order", F.lit(k)), f"totals-{k}")
         made.append(back_path)
         answers = back if answers is None else answers.unionByName(back)
-        del sent, back
-        _release(spark)
 
     def score(table: pa.Table, got: pa.Table) -> pa.Table:
         block = Block(table.column("text").to_pylist())
@@ -219,7 +207,9 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_co
         means = pa.array(sums / np.maximum(1, block.n), mask=block.n == 0)
         return pa.Table.from_arrays([table.column("id").combine_chunks(), pa.array(block.n.astype(np.int64)), pa.array(sums), means], ["id", "n_words", "log_score", "mean_log_score"])
 
-    scored, _ = written(blocks.cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, n_words long, log_score double, mean_log_score double"), "scores")
+    result = blocks.cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, n_words long, log_score double, mean_log_score double")
+    with shuffles_end_with_writes(spark):
+        scored, _ = written(result, "scores")
     spark.sql(f"DROP TABLE {name}")
     discard(spark, path, *made)
     return scored.withColumnRenamed("id", id_col)
