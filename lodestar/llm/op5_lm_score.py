@@ -30,6 +30,8 @@ BACKOFF = 0.4
 BLOCK, BUCKET = 4 << 20, 8 << 20
 #: Blocks and buckets that a small table has at least: their number follows the text, not the cluster.
 SPREAD = 16
+#: Files of a bucketed table at most, as Spark's ``spark.sql.sources.bucketing.maxBuckets``: beyond, a file holds more blocks.
+MOST_TABLE_BUCKETS = 100_000
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -103,7 +105,7 @@ class Block:
         return np.bincount(self.of, (reach - best) * math.log(backoff) + logs, minlength=len(self.n))
 
 
-def _totals(sent: DataFrame) -> DataFrame:
+def _totals(sent: DataFrame, parts: int) -> DataFrame:
     """Each bucket's totals, for every block that sent to it."""
 
     def add(batches):
@@ -126,7 +128,7 @@ def _totals(sent: DataFrame) -> DataFrame:
         if held:
             yield solve()
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(add, "block long, bucket long, totals binary")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(add, "block long, bucket long, totals binary")
 
 
 def _levels(block: Block, answers: pa.Table, orders: int) -> None:
@@ -151,14 +153,13 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_co
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_blocks = max(-(-size // BLOCK), min(SPREAD, 1 + (size >> 20)))
     bits = math.ceil(math.log2(max(size / BUCKET, SPREAD)))
     # dealt in turn, so that blocks are even whatever the ids
     rows = rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(n_blocks)))
     name = f"lodestar_blocks_{uuid.uuid4().hex}"
     path = f"{scratch_root(spark)}/lodestar-{spark.sparkContext.applicationId}/{name}"
-    n = min(100_000, parts)
+    n = min(MOST_TABLE_BUCKETS, n_blocks)
     with shuffles_end_with_writes(spark):
         rows.repartition(n, "block").write.option("path", path).option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
     texts = spark.table(name)
@@ -196,7 +197,7 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_co
                 sent, sent_path = written(sent, "unigrams")
                 made.append(sent_path)
                 all_words = sent.agg(F.sum("n")).first()[0] or 0
-            back, back_path = written(_totals(sent).withColumn("order", F.lit(k)), f"totals-{k}")
+            back, back_path = written(_totals(sent, min(MOST_TABLE_BUCKETS, 1 << bits)).withColumn("order", F.lit(k)), f"totals-{k}")
         made.append(back_path)
         answers = back if answers is None else answers.unionByName(back)
 
