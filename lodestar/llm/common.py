@@ -83,6 +83,22 @@ def shuffles_end_with_writes(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def bucketed(df: DataFrame, n: int, key: str, name: str):
+    """``df`` as a table of ``n`` buckets by ``key``: it meets other tables by key without moving again. The table and its
+    files go on leaving, whatever happened within."""
+    spark = df.sparkSession
+    table = f"lodestar_{name}_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/lodestar-{spark.sparkContext.applicationId}/{table}"
+    _made[path] = spark
+    try:
+        df.write.option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(table)
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        discard(spark, path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,7 +20,6 @@ Strings are judged on the input; matches never cross texts.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import discard, documents, scratch_root, written
+from lodestar.llm.common import bucketed, discard, documents, written
 
 LENGTH = 400
 GRAM = 32
@@ -178,14 +177,10 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _distinct_texts(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, str, str]:
-    """Each text once, with its copies, as a table bucketed by key: it meets other tables by key without moving again."""
-    n = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"lodestar_texts_{uuid.uuid4().hex}"
-    path = f"{scratch_root(spark)}/lodestar-{spark.sparkContext.applicationId}/{name}"
-    texts = rows.groupBy("key").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
-    texts.write.option("path", path).option("compression", "zstd").bucketBy(n, "key").saveAsTable(name)
-    return spark.table(name), name, path
+def _distinct_texts(rows: DataFrame):
+    """Each text once, with its copies, as a table bucketed by key."""
+    n = min(100_000, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return bucketed(rows.groupBy("key").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies")), n, "key", "texts")
 
 
 FOUND = "anchor long, digest binary, spans array<struct<from:int,to:int>>"
@@ -289,12 +284,9 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if length <= GRAM:
         raise ValueError(f"length must be more than {GRAM}")
-    spark = df.sparkSession
     data = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit("").cast("binary"))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), data.alias("bytes"))
     rows = rows.withColumn("key", F.unhex(F.substring(F.sha2("bytes", 256), 1, 32)))
-    texts, name, path = _distinct_texts(spark, rows.select("key", "bytes"))
-    spans = repeated_spans(texts, length)
     fields = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,11 +305,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(fields) - 1]
             yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], fields)
 
-    full = texts.join(spans, "key", "left").select("key", "bytes", "copies", "spans")
     schema = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    done, _ = written(full.mapInArrow(apply, schema), "kept")
-    spark.sql(f"DROP TABLE {name}")
-    discard(spark, path)
+    with _distinct_texts(rows.select("key", "bytes")) as texts:
+        full = texts.join(repeated_spans(texts, length), "key", "left").select("key", "bytes", "copies", "spans")
+        done, _ = written(full.mapInArrow(apply, schema), "kept")
     return rows.select("id", "key").join(done, "key").select(F.col("id").alias(id_col), *fields[1:])
 
 

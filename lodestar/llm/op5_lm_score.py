@@ -13,7 +13,6 @@ only if its first and its last n - 1 words do, so higher orders send only those
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import words
-from lodestar.llm.common import discard, documents, scratch_root, shuffles_end_with_writes, written
+from lodestar.llm.common import bucketed, discard, documents, shuffles_end_with_writes, written
 
 ORDER = 3
 BACKOFF = 0.4
@@ -157,12 +156,13 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_co
     bits = math.ceil(math.log2(max(size / BUCKET, SPREAD)))
     # dealt in turn, so that blocks are even whatever the ids
     rows = rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(n_blocks)))
-    name = f"lodestar_blocks_{uuid.uuid4().hex}"
-    path = f"{scratch_root(spark)}/lodestar-{spark.sparkContext.applicationId}/{name}"
     n = min(MOST_TABLE_BUCKETS, n_blocks)
-    with shuffles_end_with_writes(spark):
-        rows.repartition(n, "block").write.option("path", path).option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
-    texts = spark.table(name)
+    with shuffles_end_with_writes(spark), bucketed(rows.repartition(n, "block"), n, "block", "blocks") as texts:
+        return _scored(texts, kind, bits, order, backoff).withColumnRenamed("id", id_col)
+
+
+def _scored(texts: DataFrame, kind: str, bits: int, order: int, backoff: float) -> DataFrame:
+    """The scores of the blocks' texts, written."""
 
     def ask(table: pa.Table, answers: pa.Table | None, orders: int) -> pa.Table:
         block = Block(table.column("text").to_pylist())
@@ -192,12 +192,11 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_co
             sent = blocks.applyInArrow(first, sent_schema)
         else:
             sent = blocks.cogroup(answers.groupBy("block")).applyInArrow(asking(k - 1), sent_schema)
-        with shuffles_end_with_writes(spark):
-            if k == 1:
-                sent, sent_path = written(sent, "unigrams")
-                made.append(sent_path)
-                all_words = sent.agg(F.sum("n")).first()[0] or 0
-            back, back_path = written(_totals(sent, min(MOST_TABLE_BUCKETS, 1 << bits)).withColumn("order", F.lit(k)), f"totals-{k}")
+        if k == 1:
+            sent, sent_path = written(sent, "unigrams")
+            made.append(sent_path)
+            all_words = sent.agg(F.sum("n")).first()[0] or 0
+        back, back_path = written(_totals(sent, min(MOST_TABLE_BUCKETS, 1 << bits)).withColumn("order", F.lit(k)), f"totals-{k}")
         made.append(back_path)
         answers = back if answers is None else answers.unionByName(back)
 
@@ -209,11 +208,9 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_co
         return pa.Table.from_arrays([table.column("id").combine_chunks(), pa.array(block.n.astype(np.int64)), pa.array(sums), means], ["id", "n_words", "log_score", "mean_log_score"])
 
     result = blocks.cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, n_words long, log_score double, mean_log_score double")
-    with shuffles_end_with_writes(spark):
-        scored, _ = written(result, "scores")
-    spark.sql(f"DROP TABLE {name}")
-    discard(spark, path, *made)
-    return scored.withColumnRenamed("id", id_col)
+    scored, _ = written(result, "scores")
+    discard(texts.sparkSession, *made)
+    return scored
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from lodestar.llm import op2_exact_dedup, op4_suffix_dedup, op10_simhash
+from lodestar.llm import common, op2_exact_dedup, op4_suffix_dedup, op10_simhash
 from tests.llm.helpers import awkward, clashing, frame, rows_of
 
 
@@ -206,3 +207,16 @@ def test_components_with_hubs(spark, hub):
     want = roots(sorted({x for e in edges for x in e}), lambda a, b: (a, b) in edges or (b, a) in edges)
     got, _ = op10_simhash.components(spark.createDataFrame(edges, "u long, v long"), hub)
     assert {r.u: r.root for r in got.collect()} == {x: r for x, r in want.items() if x != r}
+
+
+def test_bucketed_tables_go_even_after_a_failure(spark):
+    rows = spark.range(10).withColumn("v", F.lit("x"))
+    with pytest.raises(RuntimeError, match="stop"), common.bucketed(rows, 3, "id", "test") as table:
+        assert table.count() == 10
+        assert any(t.name.startswith("lodestar_test_") for t in spark.catalog.listTables())
+        raise RuntimeError("stop")
+    assert not any(t.name.startswith("lodestar_test_") for t in spark.catalog.listTables())
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    with pytest.raises(RuntimeError), common.shuffles_end_with_writes(spark):
+        raise RuntimeError
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
