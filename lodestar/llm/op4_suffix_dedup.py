@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bucketed, discard, documents, written
+from lodestar.llm.common import bounded_batches, bucketed, discard, documents, written
 
 LENGTH = 400
 GRAM = 32
@@ -284,6 +284,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if length <= GRAM:
         raise ValueError(f"length must be more than {GRAM}")
+    bounded_batches(df.sparkSession)
     data = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit("").cast("binary"))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), data.alias("bytes"))
     rows = rows.withColumn("key", F.unhex(F.substring(F.sha2("bytes", 256), 1, 32)))
