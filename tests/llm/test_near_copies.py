@@ -76,3 +76,52 @@ def test_empty_and_short_texts(spark):
     got = {(r.id, r.component_id) for r in near_copies.similar_groups(frame(spark, rows)).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (None, 4), (7, 7)}
     assert near_copies.similar_groups(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_walks_link_what_their_radius_allows():
+    rng = random.Random(3)
+    members = {rng.getrandbits(64) for _ in range(40)}
+    for x in [*members][:20]:
+        for _ in range(15):
+            y = x
+            for k in rng.sample(range(64), rng.randrange(1, 16)):
+                y ^= 1 << k
+            members.add(y)
+    near = {frozenset(p) for p in combinations(members, 2) if (p[0] ^ p[1]).bit_count() <= 18}
+    pairs = [*near_copies.walked([*members], 18)]
+    assert {frozenset(p) for p in pairs} <= near and len({y for y, _ in pairs}) == len(pairs)
+    assert len(members) - len(pairs) == len(parts_of(members, near))
+
+
+def parts_of(members, pairs):
+    left, out = set(members), []
+    while left:
+        part, grown = set(), [left.pop()]
+        while grown:
+            x = grown.pop()
+            part.add(x)
+            more = {y for p in pairs if x in p for y in p} & left
+            left -= more
+            grown += more
+        out.append(part)
+    return out
+
+
+def test_stage_links_by_trees_of_simhashes_and_joins_only_what_they_leave(spark, monkeypatch):
+    rows = copies()
+    df, want = frame(spark, rows), kept_of(rows)
+    of = {near_copies._digest(near_copies.shingle_set(r[1])): r for r in rows}
+    trees, told = near_copies.tree_pairs, []
+    monkeypatch.setattr(near_copies, "tree_pairs", lambda shards: told.append(trees(shards)) or told[-1])
+    monkeypatch.setattr(near_copies, "discard", lambda *_: None)  # the shards are read again below
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted(r.doc_id for r in got) == want and len(told) == 1
+    mask = (1 << 64) - 1
+    pairs = {frozenset((of[r.u & mask][0], of[r.v & mask][0])) for r in told[0].collect()}
+    text = {r[0]: r[1] for r in rows}
+    holds = {p for p in pairs if jaccard(*(text[x] for x in p)) >= 0.8}
+    assert len(rows) - len(parts_of(text, holds)) >= 0.9 * (len(rows) - len(want))
+    # what trees don't give is found all the same
+    monkeypatch.setattr(near_copies, "tree_pairs", lambda shards: trees(shards).limit(0))
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted(r.doc_id for r in got) == want
